@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.probit import probit_sql
-from lectern.llm import distinctive_terms, fuse_scores, split_oversized
+from lectern.llm import distinctive_terms, fuse_scores, same_look, split_oversized
 from lectern.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,18 @@ def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
     return fused.withColumn("fused", F.round("fused", 6))
 
 
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The common form of every distinct block text and request query."""
+    blocks = load(spark, folder, "blocks").select(F.lit("block").alias("field"), F.col("id"), "text").distinct()
+    queries = load(spark, folder, "requests").select(F.lit("query").alias("field"), F.col("query_id").alias("id"), F.col("query").alias("text")).distinct()
+    return same_look.with_form(blocks.unionByName(queries), "text").select("field", "id", "form")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = same_look.same_look_pairs(load(spark, folder, "blocks"), "block", "id", "text")
+    return blocks.unionByName(same_look.same_look_pairs(load(spark, folder, "requests"), "query", "query_id", "query"))
+
+
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized.split_oversized(load(spark, folder, "blocks"), load(spark, folder, "sections"))
 
@@ -48,6 +60,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
