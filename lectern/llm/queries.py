@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.probit import probit_sql
-from lectern.llm import distinctive_terms, fuse_scores, same_look, split_oversized
+from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, same_look, split_oversized
 from lectern.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,23 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _weights(spark, folder).where("tf >= 5 AND df <= 3 AND score >= 0").select("document_id", "term")
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.with_ids(load(spark, folder, "documents", "doc_id", "text"), "text").select("doc_id", "ids")
+
+
+def p7_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document whether decoding its ids gives its text back; a null text comes back empty."""
+    encoded = byte_bpe.with_ids(load(spark, folder, "documents", "doc_id", "text"), "text")
+    decoded = byte_bpe.with_text(encoded, "ids")
+    return decoded.select("doc_id", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    counted = byte_bpe.count_documents(load(spark, folder, "documents"))
+    packed = fill_containers.fill(counted, "doc_id", "n_tokens")
+    return packed.withColumnsRenamed({"size": "n_tokens", "start": "token_start"})
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
@@ -68,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_weights": p6_weights,
+    "p7_ids": p7_ids,
+    "p7_round_trip": p7_round_trip,
+    "p8_packing": p8_packing,
 }
 
 _P3 = """
@@ -104,6 +124,7 @@ ORACLE: dict[str, str] = {
                row_number() OVER (PARTITION BY w.query_id ORDER BY fused DESC NULLS LAST, w.chunk_id)::BIGINT AS position
         FROM w LEFT JOIN f USING (query_id, chunk_id)""",
     "p5_found": "SELECT DISTINCT id AS block_id FROM blocks WHERE length(text) > 2000",
+    "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
     "p6_found": _TERMS + "SELECT document_id, term FROM l JOIN s USING (term) WHERE tf >= 5 AND df <= 3",
     "p6_weights": _TERMS
     + """SELECT document_id, term, tf::BIGINT AS tf, df::BIGINT AS df,
