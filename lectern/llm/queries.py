@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.probit import probit_sql
-from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, same_look, split_oversized
+from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, garbled, same_look, split_oversized
 from lectern.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,16 @@ def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.withColumnsRenamed({"size": "n_tokens", "start": "token_start"})
 
 
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every garbled document with its text as far as it could be restored."""
+    found = garbled.repair_documents(load(spark, folder, "documents"), "doc_id", "text")
+    return found.where("garbled").select("doc_id", "restored")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.repair_documents(load(spark, folder, "documents"), "doc_id", "text").where("garbled").select("doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
@@ -88,6 +98,8 @@ QUERIES: dict[str, Query] = {
     "p7_ids": p7_ids,
     "p7_round_trip": p7_round_trip,
     "p8_packing": p8_packing,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 _P3 = """
