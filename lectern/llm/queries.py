@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.probit import probit_sql
-from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, garbled, same_look, split_oversized
+from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, garbled, same_look, similar_vectors, split_oversized
 from lectern.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors.similar_pairs(load(spark, folder, "vectors"), "chunk_id", "dense", 0.85)
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar of every hundredth chunk (by hash of its id), among all chunks."""
+    found = similar_vectors.neighbours(load(spark, folder, "vectors"), "chunk_id", "dense", probes=similar_vectors.WIDE, one_in=100)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return fuse_scores.top_by_all(load(spark, folder, "fused_hits"), load(spark, folder, "results"))
 
@@ -87,6 +97,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_neighbours": p1_neighbours,
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
     "p4_found": p4_found,
