@@ -40,3 +40,24 @@ def cumulative(df: DataFrame, keys: list[str], order: list[str], count: str) ->
     )
     joined = local.join(offsets, ["_range", *keys])
     return joined.select(*names, (F.col("_local") + F.col("_offset")).cast("long").alias("below"), F.col("total").cast("long").alias("total"))
+
+
+def following(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: ``value`` of the next row of the same group in ascending ``order`` (null for the last).
+
+    ``order`` must be unique within a group.  As in ``cumulative`` no task holds
+    more of a group than one range; the last row of a range takes the first
+    value of the group's next range.
+    """
+    parts = parallelism(df.sparkSession)
+    names = df.columns
+    ranged = cut(
+        df.repartitionByRange(parts, *[F.col(c) for c in (*keys, *order)]).withColumn("_range", F.spark_partition_id())
+    )
+    within = Window.partitionBy("_range", *keys).orderBy(*order)
+    local = ranged.withColumn("_next", F.lead(F.struct(value)).over(within))
+    first = ranged.groupBy("_range", *keys).agg(F.min(F.struct(*order, value)).alias("_first"))
+    ranges = Window.partitionBy(*keys).orderBy("_range")
+    after = first.select("_range", *keys, F.lead("_first").over(ranges).alias("_after")).where("_after IS NOT NULL")
+    joined = local.join(after, ["_range", *keys], "left")
+    return joined.select(*names, F.coalesce(F.col("_next")[value], F.when(F.col("_next").isNull(), F.col("_after")[value])).alias(out))
