@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.probit import probit_sql
-from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, garbled, same_look, similar_vectors, split_oversized
+from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, garbled, same_look, scan_repair, similar_vectors, split_oversized
 from lectern.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    noise = scan_repair.find_noise(load(spark, folder, "blocks"), load(spark, folder, "sections"), load(spark, folder, "versions"))
+    return noise.withColumnRenamed("id", "block_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return fuse_scores.top_by_all(load(spark, folder, "fused_hits"), load(spark, folder, "results"))
 
@@ -99,6 +104,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
     "p4_found": p4_found,
