@@ -122,9 +122,14 @@ def rewrite(c: Column, most: int = 3) -> Column:
     """A query first as it is, then without framing, then its parts; distinct, at most ``most``; blank gives none."""
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     original = strip(c)
-    core = strip(F.regexp_replace(original, QUESTION_TAIL, ""))
-    for phrase in FRAMING:
-        core = F.when(F.lower(core).startswith(phrase), F.regexp_replace(F.substring(core, lit(len(phrase) + 1), F.length(core)), "^[的 　]+|[的 　]+$", "")).otherwise(core)
+    bare = strip(F.regexp_replace(original, QUESTION_TAIL, ""))
+
+    def unframe(c: Column, phrase: Column) -> Column:
+        rest = F.regexp_replace(F.substring(c, F.length(phrase) + 1, F.length(c)), "^[的 　]+|[的 　]+$", "")
+        return F.when(F.startswith(F.lower(c), phrase), rest).otherwise(c)
+
+    # A fold over the phrases: nesting the expression would double it with each.
+    core = F.aggregate(F.array(*map(lit, FRAMING)), bare, unframe)
     variants = F.concat(F.array(original, core), F.transform(F.split(core, SEPARATOR), strip))
     kept = F.filter(variants, lambda v: (v == original) | (F.length(v) >= 2))
     return F.when(F.coalesce(original, lit("")) == "", F.array().cast("array<string>")).otherwise(F.slice(F.array_distinct(kept), 1, most))
