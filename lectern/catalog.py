@@ -122,7 +122,7 @@ def _f06(spark, d):
 def _rewrite_sql() -> str:
     steps = [rf"c0 AS (SELECT query_id, {_strip('query')} AS o, {_strip(f'regexp_replace({_strip("query")}, {chr(39)}{T.QUESTION_TAIL}{chr(39)}, {chr(39)}{chr(39)})')} AS c FROM q WHERE query IS NOT NULL)"]
     for i, p in enumerate(T.FRAMING):
-        steps.append(f"c{i + 1} AS (SELECT query_id, o, CASE WHEN starts_with(lower(c), '{p}') THEN regexp_replace(substr(c, {len(p) + 1}), '^[的 　]+|[的 　]+$', '', 'g') ELSE c END AS c FROM c{i})")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT query_id, o, CASE WHEN starts_with(lower(c), '{p}') THEN regexp_replace(substr(c, {len(p) + 1}), '^[的 　]+|[的 　]+$', '', 'g') ELSE c END AS c FROM c{i})")
     parts = f"list_transform(regexp_split_to_array(c, '{T.SEPARATOR}'), lambda x: {_strip('x')})"
     return f"""WITH {Q}, {", ".join(steps)}, l AS (SELECT query_id, list_filter(list_concat([o, c], {parts}), lambda x: x = o OR length(x) >= 2) AS x, o FROM c{len(T.FRAMING)}),
         u AS (SELECT query_id, list_filter(x, lambda y, i: list_position(x, y) = i) AS x, o FROM l)
