@@ -518,7 +518,7 @@ def _f20(spark, d):
 
 @query("f12_hash_embedding")
 def _f12(spark, d):
-    return _chunk_texts(spark, d).select("chunk_id", dense.hash_embedding(F.col("text"), search.DIM).alias("dense"))
+    return dense.with_hash_embedding(_chunk_texts(spark, d), "text", "dense", search.DIM).select("chunk_id", "dense")
 
 
 @query("c1_hybrid_search")

@@ -29,6 +29,15 @@ def lit(x) -> Column:
     return F.lit(x)
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    An expression that stands inside a lambda is evaluated for every element;
+    as the only element of an array it becomes a variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_text(c: Column) -> Column:
     """One kind of line end, runs of blanks as one space, at most one empty line, stripped."""
     c = F.regexp_replace(F.regexp_replace(c, "\r\n|\r", "\n"), "[ \t　]+", " ")
@@ -166,22 +175,26 @@ def title_from(filename: Column, text: Column) -> Column:
 def snippet_start(text: Column, terms: Column, width: int) -> Column:
     """0-based start of the first window, stepped by a quarter of its width, with most occurrences of the terms."""
     step = max(width // 4, 1)
-    starts = F.sequence(lit(0), F.greatest(F.length(text) - width, lit(0)), lit(step))
 
-    def hits(start: Column) -> Column:
-        window = F.substring(text, start + 1, lit(width))
-        counts = F.transform(terms, lambda t: ((F.length(window) - F.length(F.replace(window, t, lit("")))) / F.length(t)).cast("int"))
-        return F.aggregate(counts, lit(0), lambda a, x: a + x)
+    def best(x: Column) -> Column:
+        t, words = x["text"], x["terms"]
+        starts = F.sequence(lit(0), F.greatest(F.length(t) - width, lit(0)), lit(step))
+
+        def hits(window: Column) -> Column:
+            counts = F.transform(words, lambda w: ((F.length(window) - F.length(F.replace(window, w, lit("")))) / F.length(w)).cast("int"))
+            return F.aggregate(counts, lit(0), lambda a, n: a + n)
 
-    best = F.array_max(F.transform(starts, lambda s: F.struct(hits(s).alias("hits"), (-s).alias("at"))))
-    return F.when(F.length(text) <= width, lit(0)).otherwise(-best["at"])
+        scored = F.transform(starts, lambda i: F.struct(bind(F.substring(t, i + 1, lit(width)), hits).alias("hits"), (-i).alias("at")))
+        return F.when(F.length(t) <= width, lit(0)).otherwise(-F.array_max(scored)["at"])
+
+    return bind(F.struct(text.alias("text"), terms.alias("terms")), best)
 
 
 def snippet(text: Column, terms: Column, width: int) -> Column:
     """The window with ellipses where text was left out."""
-    start = snippet_start(text, terms, width)
-    return F.concat(
-        F.when(start > 0, "…").otherwise(""),
-        F.substring(text, start + 1, lit(width)),
-        F.when(start + width < F.length(text), "…").otherwise(""),
-    )
+
+    def cut(x: Column) -> Column:
+        start, t = x["start"], x["text"]
+        return F.concat(F.when(start > 0, "…").otherwise(""), F.substring(t, start + 1, lit(width)), F.when(start + width < F.length(t), "…").otherwise(""))
+
+    return bind(F.struct(snippet_start(text, terms, width).alias("start"), text.alias("text")), cut)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.text import bind
+
 RRF_K = 60
 
 
@@ -27,13 +29,17 @@ def reciprocal_rank(hits: DataFrame, weights: dict[str, float] | None = None, k:
 
 def coverage_score(query_tokens: Column, chunk_tokens: Column) -> Column:
     """0.7 coverage + 0.2 density + 0.1 earliness of a query's distinct terms in a chunk, to six digits; 0 for none."""
-    terms = F.array_distinct(query_tokens)
-    n = F.size(chunk_tokens)
-    coverage = F.size(F.array_intersect(terms, chunk_tokens)) / F.size(terms)
-    hits = F.size(F.filter(chunk_tokens, lambda t: F.array_contains(terms, t)))
-    density = hits / (F.sqrt(n) + 1.0)
-    # 1-based place of the first hit; none counts as just past the end.
-    places = F.filter(F.transform(terms, lambda t: F.array_position(chunk_tokens, t)), lambda p: p > 0)
-    first = F.coalesce(F.array_min(places) - 1, n)
-    value = 0.7 * coverage + 0.2 * F.least(density, F.lit(1.0)) + 0.1 * (1.0 - first / n)
-    return F.when((F.size(terms) > 0) & (n > 0), F.round(value, 6)).otherwise(F.lit(0.0))
+
+    def score(x: Column) -> Column:
+        terms, chunk = x["q"], x["c"]
+        n = F.size(chunk)
+        coverage = F.size(F.array_intersect(terms, chunk)) / F.size(terms)
+        hits = F.size(F.filter(chunk, lambda t: F.array_contains(terms, t)))
+        density = hits / (F.sqrt(n) + 1.0)
+        # 1-based place of the first hit; none counts as just past the end.
+        places = F.filter(F.transform(terms, lambda t: F.array_position(chunk, t)), lambda p: p > 0)
+        first = F.coalesce(F.array_min(places) - 1, n)
+        value = 0.7 * coverage + 0.2 * F.least(density, F.lit(1.0)) + 0.1 * (1.0 - first / n)
+        return F.when((F.size(terms) > 0) & (n > 0), F.round(value, 6)).otherwise(F.lit(0.0))
+
+    return bind(F.struct(F.array_distinct(query_tokens).alias("q"), chunk_tokens.alias("c")), score)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import lexical
-from lectern.operators.dense import cosine, hash_embedding
+from lectern.operators.dense import cosine, with_hash_embedding
 from lectern.operators.fusion import coverage_score, reciprocal_rank
 from lectern.operators.visibility import acl_overlap, heading_contains
 
@@ -38,8 +38,10 @@ def sparse(requests: DataFrame, chunks: DataFrame, tf: DataFrame, folded: bool =
 
 def dense(requests: DataFrame, chunks: DataFrame, pool: DataFrame, folded: bool = False) -> DataFrame:
     """Best cosine over a request's variants, for the (query_id, chunk_id) pairs of ``pool``."""
-    asked = variants(requests).select("query_id", hash_embedding(F.col("variant"), DIM, folded).alias("_q"))
-    stored = chunks.select("chunk_id", hash_embedding(F.col("text"), DIM, folded).alias("_c"))
+    asked = with_hash_embedding(variants(requests), "variant", "_q", DIM, folded).select("query_id", "_q")
+    # Only chunks of the pool are embedded.
+    wanted = chunks.select("chunk_id", "text").join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    stored = with_hash_embedding(wanted, "text", "_c", DIM, folded).select("chunk_id", "_c")
     scored = pool.select("query_id", "chunk_id").join(asked, "query_id").join(stored, "chunk_id")
     return scored.groupBy("query_id", "chunk_id").agg(F.max(cosine(F.col("_q"), F.col("_c"))).alias("score")).where("score IS NOT NULL")
 
