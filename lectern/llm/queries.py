@@ -29,6 +29,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return noise.withColumnRenamed("id", "block_id")
 
 
+def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_repair.repair_text(load(spark, folder, "blocks"), load(spark, folder, "sections"), load(spark, folder, "versions"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return fuse_scores.top_by_all(load(spark, folder, "fused_hits"), load(spark, folder, "results"))
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_neighbours": p1_neighbours,
     "p2_found": p2_found,
+    "p2_paragraphs": p2_paragraphs,
     "p3_found": p3_found,
     "p3_ranking": p3_ranking,
     "p4_found": p4_found,
