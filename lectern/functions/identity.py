@@ -16,9 +16,10 @@ def uuid5(space: uuid.UUID, name: Column) -> Column:
     """Name-based UUID: SHA-1 of name space and name with version and variant set."""
     h = F.sha1(F.concat(F.unhex(F.lit(space.hex)), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab89ab89ab89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") + 1, F.lit(1))
-    return F.concat_ws(
+    joined = F.concat_ws(
         "-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)
     )
+    return F.when(name.isNotNull(), joined)
 
 
 def derived_id(kind: str, *parts: Column) -> Column:

@@ -55,9 +55,9 @@ def following(df: DataFrame, keys: list[str], order: list[str], value: str, out:
         df.repartitionByRange(parts, *[F.col(c) for c in (*keys, *order)]).withColumn("_range", F.spark_partition_id())
     )
     within = Window.partitionBy("_range", *keys).orderBy(*order)
-    local = ranged.withColumn("_next", F.lead(F.struct(value)).over(within))
-    first = ranged.groupBy("_range", *keys).agg(F.min(F.struct(*order, value)).alias("_first"))
+    local = ranged.withColumn("_next", F.lead(F.struct(F.col(value).alias("_v"))).over(within))
+    first = ranged.groupBy("_range", *keys).agg(F.min(F.struct(*order, F.col(value).alias("_v"))).alias("_first"))
     ranges = Window.partitionBy(*keys).orderBy("_range")
     after = first.select("_range", *keys, F.lead("_first").over(ranges).alias("_after")).where("_after IS NOT NULL")
     joined = local.join(after, ["_range", *keys], "left")
-    return joined.select(*names, F.coalesce(F.col("_next")[value], F.when(F.col("_next").isNull(), F.col("_after")[value])).alias(out))
+    return joined.select(*names, F.coalesce(F.col("_next._v"), F.when(F.col("_next").isNull(), F.col("_after._v"))).alias(out))
