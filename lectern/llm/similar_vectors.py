@@ -177,14 +177,14 @@ def directions(vectors: DataFrame, key: str, dense: str, dim: int) -> DataFrame:
 def _fine(x: np.ndarray) -> np.ndarray:
     """Unit vectors in three bytes a value: the error of a cosine stays below 1e-6."""
     scaled = np.rint(x.astype(np.float64) * ((1 << 23) - 1)).astype("<i4")
-    return scaled.view(np.uint8).reshape(len(x), -1, 4)[:, :, :3].reshape(len(x), -1)
+    return scaled.view(np.uint8).reshape(len(x), x.shape[1], 4)[:, :, :3].reshape(len(x), 3 * x.shape[1])
 
 
 def _unfine(raw: np.ndarray, dim: int) -> np.ndarray:
     """The inverse of ``_fine``."""
     wide = np.zeros((len(raw), dim, 4), dtype=np.uint8)
     wide[:, :, 1:] = raw.reshape(len(raw), dim, 3)
-    return (wide.reshape(len(raw), -1).view("<i4") / np.float64(((1 << 23) - 1) * 256)).astype(np.float32)
+    return (wide.reshape(len(raw), 4 * dim).view("<i4") / np.float64(((1 << 23) - 1) * 256)).astype(np.float32)
 
 
 def _classes(rows: DataFrame, count: int, *vec: str) -> DataFrame:
