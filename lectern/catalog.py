@@ -14,7 +14,7 @@ from lectern.functions import identity, text as T
 from lectern.operators import align, dense, fusion, intervals, lexical, reuse, visibility
 from lectern.plans import library, search
 from lectern.sources import parse, store
-from lectern.sources.tables import delivered_once, load
+from lectern.sources.tables import delivered_once, load, spread
 from lectern.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,39 +537,43 @@ def _c1_folded(spark, d):
 
 _PLAIN = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _MARKS = r"(?i)\[\s*(?:\d{1,4}|citation needed|clarification needed|verification needed|page needed|note\s*\d*|nb\s*\d*|dead link|sic|update|edit|by whom|according to whom|when|who|why|where)\??\s*\]"
-_PRINTS = rf"""x AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '{_MARKS}', '', 'g')), '\s+', ' ', 'g')) AS p FROM documents WHERE text IS NOT NULL),
-    h AS (SELECT doc_id, list_transform(range(1, length(p) - 3), lambda i: ('0x' || substr(md5(substr(p, i, 5)), 1, 15))::BIGINT) AS h FROM x WHERE length(p) >= 5),
-    w AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(h) - 6, 2)), lambda i: list_min(list_slice(h, i, i + 7)))) AS f FROM h)"""
+_PRINTS = rf"""x AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(lower(regexp_replace(text, '{_MARKS}', '', 'g')), '\s+', ' ', 'g')), '(?s).') AS p FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, unnest(p) AS c, unnest(range(1, len(p) + 1)) AS i FROM x),
+    g AS (SELECT doc_id, i, c || lead(c, 1) OVER o || lead(c, 2) OVER o || lead(c, 3) OVER o || lead(c, 4) OVER o AS g FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    h AS (SELECT doc_id, i, ('0x' || substr(md5(g), 1, 15))::BIGINT AS h, count(*) OVER (PARTITION BY doc_id) AS n FROM g WHERE g IS NOT NULL),
+    m AS (SELECT doc_id, i, n, min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS m FROM h),
+    e AS (SELECT DISTINCT doc_id, m AS fingerprint FROM m WHERE i <= greatest(n - 7, 1))"""
 
 
 def _prints(spark, d):
-    return load(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", reuse.fingerprints(F.col("text")).alias("f"))
+    texts = spread(load(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL"))
+    return reuse.with_fingerprints(texts, "text", "f", kernel="md5").select("doc_id", "f")
 
 
-@query("f26_winnow", f"WITH {_PRINTS} SELECT doc_id, len(f)::BIGINT AS n, list_min(f) AS low, list_max(f) AS high FROM w")
+@query("f26_winnow", f"WITH {_PRINTS} SELECT doc_id, count(*) AS n, min(fingerprint) AS low, max(fingerprint) AS high FROM e GROUP BY 1")
 def _f26(spark, d):
     f = _prints(spark, d).where(F.size("f") > 0)
     return f.select("doc_id", F.size("f").cast("long").alias("n"), F.array_min("f").alias("low"), F.array_max("f").alias("high"))
 
 
-@query("a01_fingerprint_df", f"WITH {_PRINTS}, e AS (SELECT doc_id, unnest(f) AS fingerprint FROM w), g AS (SELECT fingerprint, count(DISTINCT doc_id) AS df FROM e GROUP BY 1) SELECT df, count(*) AS n FROM g GROUP BY 1")
+@query("a01_fingerprint_df", f"WITH {_PRINTS}, y AS (SELECT fingerprint, count(*) AS df FROM e GROUP BY 1) SELECT df, count(*) AS n FROM y GROUP BY 1")
 def _a01(spark, d):
     index = _prints(spark, d).select(F.col("doc_id").alias("document_id"), F.explode("f").alias("fingerprint"))
     return reuse.frequencies(index).groupBy("df").agg(F.count("*").alias("n"))
 
 
-@query("a02_stop_list", f"""WITH {_PRINTS}, e AS (SELECT doc_id, unnest(f) AS fingerprint FROM w), n AS (SELECT count(DISTINCT doc_id) AS n FROM e)
+@query("a02_stop_list", f"""WITH {_PRINTS}, n AS (SELECT count(DISTINCT doc_id) AS n FROM e)
     SELECT fingerprint, count(DISTINCT doc_id) AS df FROM e, n GROUP BY fingerprint, n HAVING n >= 3 AND count(DISTINCT doc_id) > greatest(1, floor(n * 0.02))""")
 def _a02(spark, d):
     index = _prints(spark, d).select(F.col("doc_id").alias("document_id"), F.explode("f").alias("fingerprint"))
     return reuse.stop_list(index, 0.02)
 
 
-@query("r04_candidates", f"""WITH {_PRINTS}, e AS (SELECT doc_id, unnest(f) AS fp FROM w), n AS (SELECT count(DISTINCT doc_id) AS n FROM e),
-    st AS (SELECT fp FROM e, n GROUP BY fp, n HAVING n >= 3 AND count(*) > greatest(1, floor(n * 0.25))),
-    p AS (SELECT doc_id, fp, fp IN (SELECT fp FROM st) AS stop FROM e WHERE doc_id % 100 = 0),
+@query("r04_candidates", f"""WITH {_PRINTS}, f AS (SELECT doc_id, fingerprint AS fp FROM e), n AS (SELECT count(DISTINCT doc_id) AS n FROM f),
+    st AS (SELECT fp FROM f, n GROUP BY fp, n HAVING n >= 3 AND count(*) > greatest(1, floor(n * 0.25))),
+    p AS (SELECT doc_id, fp, fp IN (SELECT fp FROM st) AS stop FROM f WHERE doc_id % 100 = 0),
     k AS (SELECT doc_id, fp FROM (SELECT *, sum(CASE WHEN stop THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id) AS free FROM p) WHERE NOT stop OR free = 0),
-    s AS (SELECT k.doc_id AS query_id, e.doc_id AS document_id, count(*) AS shared FROM k JOIN e USING (fp) WHERE k.doc_id <> e.doc_id GROUP BY 1, 2)
+    s AS (SELECT k.doc_id AS query_id, f.doc_id AS document_id, count(*) AS shared FROM k JOIN f USING (fp) WHERE k.doc_id <> f.doc_id GROUP BY 1, 2)
     SELECT query_id, document_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id) AS r FROM s) WHERE r <= 50""")
 def _r04(spark, d):
     """Checked documents: those whose id is divisible by 100, against all."""
@@ -595,7 +599,7 @@ def _r11(spark, d):
 
 @query("f25_blake_fingerprints")
 def _f25(spark, d):
-    done = reuse.with_blake_fingerprints(load(spark, d, "documents", "doc_id", "text"), "text")
+    done = reuse.with_fingerprints(spread(load(spark, d, "documents", "doc_id", "text")), "text")
     return done.select("doc_id", F.size("fingerprints").alias("n"))
 
 
