@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import identity, text as T
 from lectern.operators import align, dense, fusion, intervals, lexical, reuse, visibility
 from lectern.plans import library, search
+from lectern.session import cut
 from lectern.sources import parse, store
 from lectern.sources.tables import delivered_once, load, spread
 from lectern.streaming import jobs
@@ -446,7 +447,7 @@ _TF = f"t AS (SELECT id AS chunk_id, unnest({_tokens('text')}) AS term FROM b WH
 
 
 def _chunk_texts(spark, d):
-    return blocks(spark, d).select(F.col("id").alias("chunk_id"), "text").where("text IS NOT NULL")
+    return blocks(spark, d, "id", "text").select(F.col("id").alias("chunk_id"), "text").where("text IS NOT NULL")
 
 
 @query("s19_index_statistics", f"WITH {B}, {_TF} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY 1")
@@ -463,7 +464,7 @@ _BM25 = f"""{B}, {Q}, {_TF}, dl AS (SELECT chunk_id, sum(tf) AS dl FROM tf GROUP
 
 @query("f16_bm25", f"WITH {_BM25} SELECT query_id, chunk_id, score, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM h) WHERE r <= 10")
 def _f16(spark, d):
-    tf = lexical.postings(_chunk_texts(spark, d))
+    tf = cut(lexical.postings(_chunk_texts(spark, d)))
     hits = lexical.bm25(lexical.query_terms(requests(spark, d).where("query IS NOT NULL")), tf).withColumn("score", F.round("score", 6))
     return lexical.top(hits, 10).withColumn("rank", F.col("rank").cast("long"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.session import parallelism
 
 K1, B = 1.2, 0.75
 
@@ -47,8 +48,9 @@ def bm25(terms: DataFrame, tf: DataFrame, mode: str = "plus-one") -> DataFrame:
     weighed = df.join(F.broadcast(corpus)).select("term", idf.alias("_idf"), "_avg")
     scored = hits.join(weighed, "term").join(dl, "chunk_id")
     part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
-    # One row per (chunk, term) is weighed before queries multiply it.
-    weights = scored.select("chunk_id", "term", part.alias("_part"))
+    # One row per (chunk, term) is weighed before queries multiply it.  Laid out by chunk, with
+    # all partitions kept, what the queries multiply is summed where it is, without a shuffle.
+    weights = scored.select("chunk_id", "term", part.alias("_part")).repartition(parallelism(tf.sparkSession), "chunk_id")
     return terms.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum("_part").alias("score"))
 
 

@@ -10,6 +10,7 @@ from lectern.operators import lexical
 from lectern.operators.dense import cosine, with_hash_embedding
 from lectern.operators.fusion import coverage_score, reciprocal_rank
 from lectern.operators.visibility import acl_overlap, heading_contains
+from lectern.session import cut
 
 OVERFETCH = 4
 DIM = 128
@@ -54,7 +55,8 @@ def hybrid(requests: DataFrame, chunks: DataFrame, top_k: int = 10, heading: str
     coverage, and a snippet.  Requests without a term have no results.
     ``chunks`` (chunk_id, text, tenant_id, acl, is_current, heading_path, page, uri).
     """
-    tf = lexical.postings(chunks, folded=folded)
+    # The index is a written table: tokens are made once, whatever reads it.
+    tf = cut(lexical.postings(chunks, folded=folded))
     limit = top_k * OVERFETCH
     lexical_hits = lexical.top(sparse(requests, chunks, tf, folded), limit).select("query_id", "chunk_id", "score")
     vector_hits = lexical.top(dense(requests, chunks, lexical_hits, folded), limit).select("query_id", "chunk_id", "score")
