@@ -483,6 +483,13 @@ def _j13(spark, d):
     return best.withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
 
 
+def _asked_blocks(spark, d):
+    """Requests with the lists, tables, figures and code of the documents they hit."""
+    h = delivered_once(spark, d, "fused_hits", "query_id", "document_id")
+    b = blocks(spark, d, "id", "document_id", "kind", "text").where("kind <> 'text' AND text IS NOT NULL").select(F.col("id").alias("chunk_id"), "document_id", "text")
+    return h.join(requests(spark, d).where("query IS NOT NULL").select("query_id", "query"), "query_id").join(b, "document_id")
+
+
 _RUNS = """f AS (SELECT DISTINCT query_id, chunk_id, dense_score, sparse_score FROM fused_hits),
     l AS (SELECT query_id, chunk_id, 'dense' AS retriever, dense_score AS s FROM f WHERE dense_score IS NOT NULL UNION ALL SELECT query_id, chunk_id, 'sparse', sparse_score FROM f WHERE sparse_score IS NOT NULL),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id, retriever ORDER BY s DESC, chunk_id) AS r FROM l)"""
@@ -497,22 +504,20 @@ def _f17(spark, d):
     return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), F.array_join(named, ",").alias("ranks"))
 
 
-@query("f18_rerank", f"""WITH {B}, {Q}, h AS (SELECT DISTINCT query_id, chunk_id FROM fused_hits),
-    x AS (SELECT h.*, list_distinct({_tokens("query")}) AS t, {_tokens("text")} AS c FROM h JOIN q USING (query_id) JOIN b ON b.id = h.chunk_id WHERE query IS NOT NULL AND text IS NOT NULL)
+@query("f18_rerank", f"""WITH {B}, {Q}, h AS (SELECT DISTINCT query_id, document_id FROM fused_hits),
+    x AS (SELECT query_id, b.id AS chunk_id, list_distinct({_tokens("query")}) AS t, {_tokens("text")} AS c FROM h JOIN q USING (query_id) JOIN b ON b.document_id = h.document_id AND kind <> 'text' WHERE query IS NOT NULL AND text IS NOT NULL)
     SELECT query_id, chunk_id, CASE WHEN len(t) = 0 OR len(c) = 0 THEN 0.0 ELSE round(0.7 * len(list_intersect(t, list_distinct(c))) / len(t)::DOUBLE
       + 0.2 * least(len(list_filter(c, lambda y: list_contains(t, y))) / (sqrt(len(c)) + 1.0), 1.0)
       + 0.1 * (1.0 - coalesce(list_min(list_filter(list_transform(t, lambda y: list_position(c, y)), lambda p: p > 0)) - 1, len(c)) / len(c)::DOUBLE), 6) END AS rerank_score FROM x""")
 def _f18(spark, d):
-    h = delivered_once(spark, d, "fused_hits", "query_id", "chunk_id")
-    x = h.join(requests(spark, d).where("query IS NOT NULL").select("query_id", "query"), "query_id").join(_chunk_texts(spark, d), "chunk_id")
+    x = _asked_blocks(spark, d)
     tokenized = x.select("query_id", "chunk_id", T.tokens(F.col("query")).alias("t"), T.tokens(F.col("text")).alias("c"))
     return tokenized.select("query_id", "chunk_id", fusion.coverage_score(F.col("t"), F.col("c")).alias("rerank_score"))
 
 
 @query("f20_snippets")
 def _f20(spark, d):
-    h = delivered_once(spark, d, "fused_hits", "query_id", "chunk_id")
-    x = h.join(requests(spark, d).where("query IS NOT NULL").select("query_id", "query"), "query_id").join(_chunk_texts(spark, d), "chunk_id")
+    x = _asked_blocks(spark, d)
     terms = F.filter(F.array_distinct(T.tokens(F.col("query"))), lambda t: F.length(t) > 1)
     return x.select("query_id", "chunk_id", T.snippet(F.col("text"), terms, 80).alias("snippet"))
 
