@@ -590,13 +590,14 @@ def _r04(spark, d):
 
 @query("r11_reuse_report")
 def _r11(spark, d):
-    """Aligned passages of the checked documents with their candidates, by shared fingerprints."""
-    index = _prints(spark, d).select(F.col("doc_id").alias("document_id"), F.explode("f").alias("fingerprint"))
+    """Aligned passages of the checked documents with all that share five fingerprints or more."""
+    texts = spread(load(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL"))
+    prints = cut(reuse.with_fingerprints(texts.withColumnRenamed("doc_id", "document_id"), "text", "f", kernel="md5"))
+    index = prints.select("document_id", F.explode("f").alias("fingerprint"))
     probes = index.where("document_id % 100 = 0").withColumn("query_id", F.col("document_id"))
-    pairs = reuse.candidates(probes, index).where("shared >= 5")
-    texts = load(spark, d, "documents", "doc_id", "text")
-    full = pairs.join(texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text")), "query_id").join(texts.select(F.col("doc_id").alias("document_id"), "text"), "document_id")
-    found = align.align_pairs(full.repartition("query_id", "document_id"))
+    asked = reuse.used(probes, index).groupBy("query_id").agg(F.collect_set("fingerprint").alias("f"))
+    asked = asked.join(prints.select(F.col("document_id").alias("query_id"), "text"), "query_id")
+    found = cut(align.align_probes(asked, prints, 5))
     spans = found.select("query_id", "document_id", F.col("query_start").alias("start"), F.col("query_end").alias("end"))
     matched = intervals.covered_length(spans, ["query_id", "document_id"], out="matched_chars")
     best = found.groupBy("query_id", "document_id").agg(F.max("score").alias("score"), F.count("*").alias("passages"))
