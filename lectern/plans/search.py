@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import lexical
-from lectern.operators.dense import cosine, with_hash_embedding
+from lectern.operators.dense import nearest_visible, with_hash_embedding
 from lectern.operators.fusion import coverage_score, reciprocal_rank
 from lectern.operators.visibility import acl_overlap, heading_contains
 from lectern.session import cut
@@ -37,20 +37,19 @@ def sparse(requests: DataFrame, chunks: DataFrame, tf: DataFrame, folded: bool =
     return allowed_pairs(lexical.bm25(terms, tf), requests, chunks)
 
 
-def dense(requests: DataFrame, chunks: DataFrame, pool: DataFrame, folded: bool = False) -> DataFrame:
-    """Best cosine over a request's variants, for the (query_id, chunk_id) pairs of ``pool``."""
-    asked = with_hash_embedding(variants(requests), "variant", "_q", DIM, folded).select("query_id", "_q")
-    # Only chunks of the pool are embedded.
-    wanted = chunks.select("chunk_id", "text").join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    stored = with_hash_embedding(wanted, "text", "_c", DIM, folded).select("chunk_id", "_c")
-    scored = pool.select("query_id", "chunk_id").join(asked, "query_id").join(stored, "chunk_id")
-    return scored.groupBy("query_id", "chunk_id").agg(F.max(cosine(F.col("_q"), F.col("_c"))).alias("score")).where("score IS NOT NULL")
+def dense(requests: DataFrame, chunks: DataFrame, k: int, folded: bool = False) -> DataFrame:
+    """Best cosine over a request's variants, of all chunks it may see: its ``k`` best are among the rows."""
+    asked = with_hash_embedding(variants(requests), "variant", "dense", DIM, folded).select("query_id", "dense")
+    asked = asked.join(requests.select("query_id", "tenant_id", "acl", "current_only"), "query_id")
+    # Each block of requests reads the vectors again, so they are written once.
+    stored = cut(with_hash_embedding(chunks.select("chunk_id", "tenant_id", "acl", "is_current", "text"), "text", "dense", DIM, folded).drop("text"))
+    return nearest_visible(asked, stored, k, DIM).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
 
 def hybrid(requests: DataFrame, chunks: DataFrame, top_k: int = 10, heading: str | None = None, width: int = 320, folded: bool = False) -> DataFrame:
     """(query_id, rank, chunk_id, score, rerank_score, contributions, snippet, anchor) of cited results.
 
-    Rewriting, lexical retrieval, vectors of the lexical pool, rank fusion,
+    Rewriting, lexical retrieval, vectors of all visible chunks, rank fusion,
     the heading filter after fusion and before reranking, reranking by
     coverage, and a snippet.  Requests without a term have no results.
     ``chunks`` (chunk_id, text, tenant_id, acl, is_current, heading_path, page, uri).
@@ -59,7 +58,7 @@ def hybrid(requests: DataFrame, chunks: DataFrame, top_k: int = 10, heading: str
     tf = cut(lexical.postings(chunks, folded=folded))
     limit = top_k * OVERFETCH
     lexical_hits = lexical.top(sparse(requests, chunks, tf, folded), limit).select("query_id", "chunk_id", "score")
-    vector_hits = lexical.top(dense(requests, chunks, lexical_hits, folded), limit).select("query_id", "chunk_id", "score")
+    vector_hits = lexical.top(dense(requests, chunks, limit, folded), limit).select("query_id", "chunk_id", "score")
     runs = lexical_hits.withColumn("retriever", F.lit("sparse")).unionByName(vector_hits.withColumn("retriever", F.lit("dense")))
     fused = lexical.top(reciprocal_rank(runs), limit).drop("rank")
     # Only the ids were ranked; the texts are fetched for what is left.

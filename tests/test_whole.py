@@ -4,8 +4,11 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lectern import catalog
-from lectern.operators import align
+from lectern.operators import align, dense, lexical
+from lectern.plans import search
 
 
 def _noise(r: random.Random, n: int) -> str:
@@ -41,3 +44,29 @@ def test_text_without_places_is_the_normal_form():
     samples = ["A [1]  b　ﬁ İß [note 2] Σ", "卷一，天 地。", "", "x\n\n[12] y", "½ ㎏ ｶﾞ"]
     assert all(align.normal_text(t, p) == align.normal_form(t, p).text for t in samples for p in ("generic", "zh"))
     assert len(align.gram_hashes("abcab", 2)) == 3 and align.gram_hashes("a", 2).dtype == np.uint64
+
+
+def test_vectors_reach_chunks_without_a_lexical_place(spark):
+    requests = spark.createDataFrame([("q", "lamp", "t", ["a"], True)], "query_id string, query string, tenant_id string, acl array<string>, current_only boolean")
+    # 45 short chunks fill the lexical pool; the long one has the direction of the request, at a lower BM25 rank.
+    rows = [(f"c{i:02}", f"lamp w{i}", "t", ["a"], True) for i in range(45)] + [("far", "lamp " * 40 + "x y", "t", ["a"], True)]
+    rows += [("other", "lamp", "u", ["a"], True), ("old", "lamp", "t", ["a"], False), ("hidden", "lamp", "t", ["b"], True), ("unlisted", "lamp", "t", None, True)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string, tenant_id string, acl array<string>, is_current boolean")
+    got = [x.chunk_id for x in lexical.top(search.dense(requests, chunks, 5), 5).orderBy("rank").collect()]
+    assert len(got) == 5 and got[0] == "far" and not {"other", "old", "hidden", "unlisted"} & set(got)
+
+
+def test_visible_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    r = random.Random(5)
+    vector = lambda: [float(r.randint(-2, 2)) for _ in range(4)]
+    acls = [None, [], ["public"], ["a"], ["a", "b"]]
+    q = [(f"q{i}", r.choice("tu"), r.choice(acls), r.choice([True, False]), vector()) for i in range(8)]
+    c = [(f"c{i:03}", r.choice("tu"), r.choice(acls), r.choice([True, False]), vector()) for i in range(200)]
+    queries = spark.createDataFrame(q, "query_id string, tenant_id string, acl array<string>, current_only boolean, dense array<double>")
+    chunks = spark.createDataFrame(c, "chunk_id string, tenant_id string, acl array<string>, is_current boolean, dense array<double>")
+    got = {(x.query_id, x.rank): x.chunk_id for x in lexical.top(dense.nearest_visible(queries, chunks, 5, 4), 5).collect()}
+    pairs = queries.select("query_id", F.col("dense").alias("x")).crossJoin(chunks.select("chunk_id", F.col("dense").alias("y")))
+    hits = pairs.select("query_id", "chunk_id", F.round(dense.cosine(F.col("x"), F.col("y")), 9).alias("score")).where("score IS NOT NULL")
+    want = lexical.top(search.allowed_pairs(hits, queries, chunks), 5)
+    assert got == {(x.query_id, x.rank): x.chunk_id for x in want.collect()} and len(got) >= 30
