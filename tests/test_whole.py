@@ -70,3 +70,11 @@ def test_visible_vectors_equal_brute_force(spark, monkeypatch):
     hits = pairs.select("query_id", "chunk_id", F.round(dense.cosine(F.col("x"), F.col("y")), 9).alias("score")).where("score IS NOT NULL")
     want = lexical.top(search.allowed_pairs(hits, queries, chunks), 5)
     assert got == {(x.query_id, x.rank): x.chunk_id for x in want.collect()} and len(got) >= 30
+
+
+def test_snippets_are_cut_from_prose_too(spark):
+    d = "/root/testdata/sf0.001"
+    got = {x.chunk_id for x in catalog.QUERIES["f20_snippets"](spark, d).select("chunk_id").distinct().collect()}
+    hit = catalog.requests(spark, d).where("query IS NOT NULL").join(catalog.delivered_once(spark, d, "fused_hits", "query_id", "document_id"), "query_id")
+    blocks = catalog.blocks(spark, d, "id", "document_id", "kind", "text").where("text IS NOT NULL").join(hit, "document_id", "left_semi")
+    assert got == {x.id for x in blocks.collect()} and blocks.where("kind = 'text'").count()
