@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a side that may be broadcast after they were counted; a larger side is shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -53,6 +58,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder now and read it from there afterwards.
+
+    As `cut`, for wide rows of which later reads need a few columns each: the
+    table is columnar and compressed.  It is deleted when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` written and counted: to be broadcast in joins up to ``most`` rows, to be shuffled beyond them."""
+    table = written(df)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of this session, the unit in which plans here size their blocks."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
