@@ -1,19 +1,28 @@
 """Noise in text from scanned pages: found, and repaired into continuous paragraphs.
 
+The texts are read once, into a table of what each block shows: lines that may
+be page furniture, its words, words cut at line ends, easily confused CJK
+characters with their neighbours.  All decisions are joins over that table.
 Page furniture (running lines that carry a title along, lines that are only a
-page number) is told by agreement over pages of the document; words cut at line
-ends by whether the joined or the hyphenated word is one; misread words by
+page number) is told by agreement over pages of the document; cut words by
+whether the joined or the hyphenated word is one; misread words by
 ``scan_words``.  Nothing is gathered by document: a document may hold any share
 of all blocks, so agreement is counted, joined or looked up by range.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +30,22 @@ from pyspark.sql import functions as F
 from lectern.llm import scan_words as words
 from lectern.llm.scan_words import CJK, CUT, Folder
 from lectern.operators.positions import cumulative, following
-from lectern.session import cut
+from lectern.session import BROADCAST_ROWS, bounded, written
 
 #: Points from the top of a page above and below which only furniture stands.
 TOP_MARGIN, BOTTOM_MARGIN = 60.0, 770.0
 #: Pages that must agree on a numbering.
 PAGES = 2
-#: A line of a title has at most so many words and characters.
-TITLE_WORDS, TITLE_LENGTH = 9, 80
-#: Between the lines of a block a line of furniture has at most so many words.
-INNER_WORDS = 7
-#: Share of all words from which words and compounds are broadcast (at most the inverse: 200,000).
-KNOWN = 5e-6
+#: Lines of so many characters and blanks are looked at in any case; longer ones if the tables have longer titles.
+SHORT_LINE, SHORT_BLANKS = 80, 8
+#: A line that is only a page number is shorter than this.
+NUMBER_LENGTH = 24
+#: Characters that a running line may have beside the title it carries along: a page number with its signs.
+BESIDE = 12
+#: Blocks in which both halves of a compound must occur to be words of their own.
+KNOWN = 2
+#: Words a task counts before it passes its counts on, and words in one row of counts.
+COUNTED, PER_ROW = 500_000, 10_000
 
 _LINE = re.compile(r"\r\n|\n|\r")
 _NUMBER = re.compile(
@@ -88,16 +101,31 @@ def page_number(line: str) -> int | None:
     return value if 0 < value < 400 else None
 
 
-def title_key(line: str) -> str:
+@dataclass(frozen=True)
+class Longest:
+    """The most characters and blanks that a line of a title may have: those of the longest title or heading of the tables, or more."""
+
+    length: int
+    blanks: int
+
+
+def longest_title(sections: DataFrame, versions: DataFrame) -> Longest:
+    named = versions.select(F.col("title").alias("t")).unionByName(sections.select(F.col("heading").alias("t")))
+    blanks = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit("")))
+    found = named.agg(F.max(F.length("t")), F.max(blanks)).first()
+    return Longest(max(found[0] or 0, SHORT_LINE), max(found[1] or 0, SHORT_BLANKS))
+
+
+def title_key(line: str, longest: Longest) -> str:
     """A title line as letters only, with all letters that are easily confused made one; empty if it is none.
 
     A title and the same title misread have the same key, also with a page
     number before or after it.
     """
-    if line.count(" ") >= TITLE_WORDS + 2:
+    if line.count(" ") > longest.blanks + BESIDE:
         return ""
     line = _OUTER_NUMBER.sub("", line)
-    if not line or len(line) > TITLE_LENGTH or line.count(" ") >= TITLE_WORDS:
+    if not line or len(line) > longest.length or line.count(" ") > longest.blanks:
         return ""
     if not line.isascii():
         line = unicodedata.normalize("NFKD", line)
@@ -113,62 +141,193 @@ def hash_key(key: str) -> int:
     return xxhash.xxh64_intdigest(key) - (1 << 63)
 
 
-def _distinct(blocks: DataFrame) -> DataFrame:
-    top, page = F.col("bbox")[2], F.coalesce(F.col("page"), F.col("bbox")[0].cast("int"))
-    return blocks.select("id", "document_id", "kind", "text", "section_id", page.alias("page"), "char_start", top.cast("double").alias("top"))
+_TABLE = (
+    "id string, document_id string, section_id string, page int, char_start int, top double, hash long, copy long, body boolean, "
+    "lines array<struct<line:int,whole:boolean,number:int,key:long>>, words array<string>, ns array<long>, "
+    "cuts array<string>, tail string, mark string, head string, skip string, around array<string>"
+)
+_EDGE = re.compile(rf"({words.HALF})([-‐‑¬\xad])\s*$")
+_HEAD = re.compile(rf"\s*({words.HALF})")
+_MARKS = "-‐‑¬\xad"
+_STOPS = ".,;:!?。，；：！？、"
+_MAY_BE_NUMBER = re.compile(r"\d|[页頁]|^[\W_]*(?:[a-zá]+\.?\s*)?[ivxlcdm]{1,8}[\W_]*$", re.IGNORECASE)
+
+
+class Reader:
+    """What single lines and edges of a text show; lines are remembered, as furniture returns on every page."""
+
+    def __init__(self, longest: Longest) -> None:
+        self.longest, self.seen = longest, {}
+
+    def line(self, x: str) -> tuple[int | None, str]:
+        """(page number, title key) of a stripped line; (None, "") if it can't be furniture."""
+        got = self.seen.get(x)
+        if got is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            n = page_number(x) if len(x) < NUMBER_LENGTH and _MAY_BE_NUMBER.search(x) else None
+            got = self.seen[x] = (n, "" if n is not None else title_key(x, self.longest))
+        return got
+
+    def inner(self, x: str) -> tuple[int | None, str]:
+        """As `line`, of a line between others: there a title ends without a stop."""
+        n, key = self.line(x)
+        return (n, key) if n is not None or x[-1] not in _STOPS else (None, "")
+
+    def lines(self, text: str) -> list[tuple[int, bool, int | None, str]]:
+        """(number of the line, whether it is the whole text, page number, title key) of lines that may be furniture."""
+        most = max(self.longest.length + BESIDE, NUMBER_LENGTH)
+        if "\n" not in text and "\r" not in text:
+            x = text.strip()
+            found = self.line(x) if len(x) <= most else (None, "")
+            return [(0, True, *found)] if found != (None, "") else []
+        rows = [(k, x) for k, y in enumerate(_LINE.split(text)) if (x := y.strip())]
+        alone = len(rows) == 1
+        found = [(k, alone, *(self.line(x) if alone else self.inner(x))) for k, x in rows if len(x) <= most]
+        return [f for f in found if f[2:] != (None, "")]
+
+    def tail(self, text: str) -> tuple[str, str] | None:
+        """A half word and its mark at the end of a block, also before a last line of furniture."""
+        text = text.rstrip()
+        if text[-1:] in _MARKS:
+            return self._edge(text)
+        at = max(text.rfind("\n"), text.rfind("\r"))
+        before = text[:at].rstrip() if at > 0 else ""
+        if before and before[-1] in _MARKS and (x := text[at:].strip()) and self.inner(x) != (None, ""):
+            return self._edge(before)
+        return None
 
+    @staticmethod
+    def _edge(text: str) -> tuple[str, str] | None:
+        # A half word has no blanks: it lies in what follows the last one.
+        edge = _EDGE.search(text.rsplit(None, 1)[-1]) if text else None
+        return (edge.group(1), edge.group(2)) if edge else None
+
+    def beyond(self, text: str, at: int) -> list[str]:
+        """First words after one and two lines of furniture that begin before ``at``, the end of a word of theirs."""
+        begin = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
+        lines = _LINE.split(text[begin:], maxsplit=3)
+        found = []
+        for k in range(1, min(3, len(lines))):
+            x = lines[k - 1].strip()
+            if not x or self.inner(x) == (None, ""):
+                break
+            if m := _HEAD.match(lines[k]):
+                found.append(m.group(1))
+        return found
+
+
+def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+    """A list array of rows of values."""
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(rows)), kind))
 
-_FEATURES = "document_id string, id string, section_id string, page int, char_start int, top double, line int, whole boolean, number int, key long"
 
+def _join_cut(*parts: str) -> str:
+    """A cut word as one string: first half, mark, ``f`` if only spaces are left of the line end, second half, halves beyond furniture."""
+    return "\x1f".join(parts)
 
-def line_features(rows: DataFrame) -> DataFrame:
-    """One row for every line that may be furniture: a number, or the key of a title; nothing else leaves the scan."""
+
+def read_blocks(blocks: DataFrame, longest: Longest) -> DataFrame:
+    """What every block shows, in one pass over the texts; and the word counts of each task.
+
+    Rows with ``ns`` are counts: in how many blocks of the task each of
+    ``words`` occurs.  The others are blocks: ``lines`` that may be furniture,
+    distinct ``words`` (and pairs of confused CJK characters), ``cuts``, a half
+    word at the end (``tail``, ``mark``), the first word (``head``; ``skip`` if
+    it may be the second half of a word), CJK characters with neighbours
+    (``around``).  ``copy`` tells deliveries of a row apart.
+    """
+    page = F.coalesce(F.col("page"), F.col("bbox")[0].cast("int"))
+    columns = ["id", "document_id", "section_id", page.alias("page"), "char_start", F.col("bbox")[2].cast("double").alias("top")]
+    source = blocks.select(*columns, F.xxhash64("id", "document_id", "kind", "text", "section_id", "page", "char_start").alias("hash"), "kind", "text")
+    names = [f.name for f in source.sparkSession.createDataFrame([], _TABLE).schema.fields]
+
+    def counted(total: Counter[str]) -> Iterator[pa.RecordBatch]:
+        keys, ns = list(total.keys()), list(total.values())
+        rows = range(0, len(keys), PER_ROW)
+        if rows:
+            w, n = _lists([keys[i : i + PER_ROW] for i in rows], pa.string()), _lists([ns[i : i + PER_ROW] for i in rows], pa.int64())
+            none = lambda t: pa.nulls(len(rows), t)
+            lines = pa.list_(pa.struct([("line", pa.int32()), ("whole", pa.bool_()), ("number", pa.int32()), ("key", pa.int64())]))
+            kinds = [*[pa.string()] * 3, pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), lines]
+            yield pa.RecordBatch.from_arrays([*map(none, kinds), w, n, none(pa.list_(pa.string())), *[none(pa.string())] * 4, none(pa.list_(pa.string()))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, reader, total = Folder(), Reader(longest), Counter()
+        draw = np.random.default_rng(int.from_bytes(os.urandom(8), "big"))
         for batch in batches:
-            at, line_no, whole, number, key = [], [], [], [], []
-            for i, t in enumerate(batch.column(6).to_pylist()):
-                if not t or not t.strip():
-                    continue
-                lines = _LINE.split(t)
-                alone = sum(bool(x.strip()) for x in lines) == 1
-                widest = max(map(len, lines))
-                if not alone and widest > 300:
+            shown, asked = [], set()
+            for t in batch.column(8).to_pylist():
+                if not t or t.isspace():
+                    shown.append(None)
                     continue
-                for k, x in enumerate(lines):
-                    x = x.strip()
-                    if not x or len(x) > TITLE_LENGTH + 12 or (not alone and x.count(" ") >= INNER_WORDS):
-                        continue
-                    n = page_number(x) if len(x) < 24 else None
-                    h = ""
-                    if n is None:
-                        # Inside a block a title is a short line that ends without a stop.
-                        if not alone and x[-1] in ".,;:!?。，；：！？、":
-                            continue
-                        h = title_key(x)
-                        if not h:
-                            continue
-                    at.append(i)
-                    line_no.append(k)
-                    whole.append(alone)
-                    number.append(n)
-                    key.append(hash_key(h) if h else None)
-            take = pa.array(at, pa.int64())
+                cut = words.marked(t)
+                tokens = set(words.words_of(t, cut))
+                inner = [(a, m, b, flat, () if flat else reader.beyond(t, end)) for a, m, b, flat, end in words.cuts(t) if b] if cut else []
+                tail, head = reader.tail(t), _HEAD.match(t)
+                head = head.group(1) if head else None
+                shown.append((tokens, inner, tail, head, reader.lines(t), words.surroundings(t)))
+                asked |= tokens
+                for a, _, b, _, c in inner:
+                    asked.update((a, b, *c))
+                asked.update(x for x in (tail and tail[0], head) if x)
+            folded = folder(asked)
+            lines, found, cuts, tails, marks, heads, skips, arounds = [], [], [], [], [], [], [], []
+            for x in shown:
+                tokens, inner, tail, head, furniture, around = x or ((), (), None, None, (), ())
+                own = {folded[w] for w in tokens}
+                own.update([p for w in own if "-" in w for p in w.split("-")], words.pairs_of(around))
+                own.discard("")
+                total.update(own)
+                lines.append(furniture)
+                found.append(list(own))
+                cuts.append([_join_cut(folded[a], m, "f" if flat else "", folded[b], *[folded[w] for w in c]) for a, m, b, flat, c in inner])
+                tails.append(folded[tail[0]] if tail else None)
+                marks.append(tail[1] if tail else None)
+                heads.append(folded[head] if head else None)
+                skips.append(folded[head] if head and head[0].islower() and head.isalpha() else None)
+                arounds.append(list(around))
+            kinds = batch.column(7).to_pylist()
+            flat = list(chain.from_iterable(lines))
+            fields = [
+                pa.array([f[0] for f in flat], pa.int32()), pa.array([f[1] for f in flat], pa.bool_()), pa.array([f[2] for f in flat], pa.int32()),
+                pa.array([hash_key(f[3]) if f[3] else None for f in flat], pa.int64()),
+            ]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in lines])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(take) for c in range(6)], pa.array(line_no, pa.int32()), pa.array(whole, pa.bool_()), pa.array(number, pa.int32()), pa.array(key, pa.int64())],
-                ["document_id", "id", "section_id", "page", "char_start", "top", "line", "whole", "number", "key"],
+                [
+                    *batch.columns[:7], pa.array(draw.integers(1 << 62, size=len(kinds))), pa.array([x is not None and k != "table" for x, k in zip(shown, kinds)]),
+                    pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["line", "whole", "number", "key"])), _lists(found, pa.string()), pa.nulls(len(kinds), pa.list_(pa.int64())),
+                    _lists(cuts, pa.string()), *[pa.array(c, pa.string()) for c in (tails, marks, heads, skips)], _lists(arounds, pa.string()),
+                ],
+                names,
             )
+            if len(total) > COUNTED:
+                yield from counted(total)
+                total = Counter()
+        yield from counted(total)
 
-    source = rows.select("document_id", "id", "section_id", "page", "char_start", "top", "text")
-    return source.mapInArrow(run, _FEATURES).distinct()
+    return source.mapInArrow(run, _TABLE)
 
 
-def titles(features: DataFrame, sections: DataFrame, versions: DataFrame) -> DataFrame:
+def once(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of `read_blocks`, each delivered row once; in how many of them each word occurs)."""
+    blocks = table.where("ns IS NULL")
+    repeated = bounded(blocks.groupBy("id", "hash").agg(F.count("*").alias("_n"), F.min("copy").alias("_keep")).where("_n > 1 AND id IS NOT NULL").drop("_n"))
+    marked = blocks.join(repeated, ["id", "hash"], "left")
+    first = marked.where("_keep IS NULL OR _keep = copy").drop("_keep")
+    again = marked.where("_keep <> copy").select(F.explode("words").alias("word"), F.lit(-1).cast("long").alias("n"))
+    counted = table.where("ns IS NOT NULL").select(F.explode(F.arrays_zip("words", "ns")).alias("x")).select("x.words", "x.ns").toDF("word", "n")
+    return first, counted.unionByName(again).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def titles(features: DataFrame, sections: DataFrame, versions: DataFrame, longest: Longest) -> DataFrame:
     """(document_id, key, head_page): keys of the document's title (head_page null) and of its headings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [title_key(t.strip()) if t else "" for t in batch.column(1).to_pylist()]
+            keys = [title_key(t.strip(), longest) if t else "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([hash_key(k) if k else None for k in keys], pa.int64())], ["document_id", "head_page", "key"])
 
     named = versions.where("is_current").select("document_id", F.col("title").alias("text"), F.lit(None).cast("int").alias("head_page"))
@@ -180,10 +339,10 @@ def titles(features: DataFrame, sections: DataFrame, versions: DataFrame) -> Dat
     return every.groupBy("document_id", "key").agg(F.max(F.col("head_page").isNull()).alias("is_title"), F.min("head_page").alias("head_page"))
 
 
-def furniture(rows: DataFrame, sections: DataFrame, versions: DataFrame) -> DataFrame:
+def furniture(rows: DataFrame, sections: DataFrame, versions: DataFrame, longest: Longest) -> DataFrame:
     """(id, line, whole, noise): lines that are page furniture, ``running`` or ``page_number``."""
-    features = cut(line_features(rows))
-    known = titles(features, sections, versions)
+    features = rows.where(F.size("lines") > 0).select("document_id", "id", "section_id", "page", "char_start", "top", F.inline("lines"))
+    known = titles(features, sections, versions, longest)
     margin = F.coalesce((F.col("top") < TOP_MARGIN) | (F.col("top") > BOTTOM_MARGIN), F.lit(False))
     keyed = features.where("key IS NOT NULL")
     lines = keyed.join(known, ["document_id", "key"])
@@ -212,22 +371,13 @@ def furniture(rows: DataFrame, sections: DataFrame, versions: DataFrame) -> Data
     return running.select("id", "line", "whole", F.lit("running").alias("noise")).unionByName(numbered.select("id", "line", "whole", F.lit("page_number").alias("noise")))
 
 
-def known_words(counts: DataFrame, total: int) -> dict[str, int]:
-    """Words and compounds from a share of all words on (at most the inverse of it), and all CJK pairs of confused characters.
-
-    The pairs are bounded by the number of characters: each holds one of a fixed few.
-    """
-    least = max(2.0, KNOWN * total)
-    kept = counts.where((F.col("n") >= least) | F.col("word").rlike(f"^[{CJK}]{{2}}$")).toArrow()
-    return dict(zip(kept["word"].to_pylist(), kept["n"].to_pylist()))
-
-
 def cut_word(left: str, mark: str, right: str | None, known: dict[str, int], flat: bool = False) -> str | None:
     """The whole word if ``left`` + ``mark`` is a word cut in two, else None.  Words in folded form.
 
     A hyphen that the word is spelled with is no cut.  The other marks are
     never part of a spelling.  ``flat``: only spaces are left of the line end,
-    so a hyphen must join to a known word.
+    so a hyphen must join to a known word.  ``known`` has the counts of the
+    words `asked_words` names.
     """
     if not left or left[-1].isdigit():
         return None
@@ -247,120 +397,148 @@ def cut_word(left: str, mark: str, right: str | None, known: dict[str, int], fla
     tail, head = left.rsplit("-", 1)[-1], right.split("-", 1)[0]
     if known.get(tail + head, 0):
         return joined
-    both = min(known.get(tail, 0), known.get(head, 0))
+    both = min(known.get(tail, 0), known.get(head, 0)) >= KNOWN
     return None if both and len(tail) > 3 and len(head) > 3 else joined
 
 
-_EDGE = re.compile(rf"({words.HALF})([-‐‑¬\xad])\s*$")
-_HEAD = re.compile(rf"\s*({words.HALF})")
+def asked_words(left: str, rights: list[str]) -> set[str]:
+    """The words whose counts decide whether a word was cut before one of ``rights``."""
+    tail = left.rsplit("-", 1)[-1]
+    heads = [(r, r.split("-", 1)[0]) for r in rights]
+    return {w for r, h in heads for w in (left + r, f"{left}-{r}", tail + h, tail, h) if w}
 
 
-def _furniture_like(line: str) -> bool:
-    """Whether a line inside a block may be furniture between two lines of its text."""
-    line = line.strip()
-    return bool(line) and line.count(" ") < INNER_WORDS and (page_number(line) is not None or (line[-1] not in ".,;:!?。，；：！？、" and bool(title_key(line))))
-
-
-def _beyond(text: str, at: int) -> list[str]:
-    """First words after one and two lines of furniture that begin before ``at``, the end of a word of theirs."""
-    begin = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
-    lines = _LINE.split(text[begin:], maxsplit=3)
-    found = []
-    for k in range(1, min(3, len(lines))):
-        if not _furniture_like(lines[k - 1]):
-            break
-        if m := _HEAD.match(lines[k]):
-            found.append(m.group(1))
-    return found
-
-
-def _tail(text: str) -> tuple[str, str] | None:
-    """A half word and its mark at the end of a block, also before a last line of furniture."""
-    text = text.rstrip()
-    edge = _EDGE.search(text[-90:])
-    if edge:
-        return edge.group(1), edge.group(2)
-    at = max(text.rfind("\n"), text.rfind("\r"))
-    if at > 0 and len(text) - at < TITLE_LENGTH and _furniture_like(text[at:]):
-        edge = _EDGE.search(text[:at].rstrip()[-90:])
-        return (edge.group(1), edge.group(2)) if edge else None
-    return None
+def decided(cuts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(cut, whole, more, less) of distinct cut words that were indeed cut or whose halves are words.
 
+    ``whole`` is the word if it was cut, ``more`` are words the block holds
+    besides, ``less`` is one that is none.  Only the words asked about are
+    looked up, by a join; each cut gathers the few counts it needs.
+    """
 
-_NOISE = "id string, document_id string, char_start int, body boolean, hyphen boolean, cjk boolean, rare array<string>, tail string, mark string, head string"
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(c, w) for c in batch.column(0).to_pylist() for left, _, _, *rights in [c.split("\x1f")] for w in asked_words(left, rights)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(2)], ["cut", "word"])
 
+    asked = cuts.select("cut").distinct().mapInArrow(ask, "cut string, word string").join(counts, "word", "left")
+    known = asked.groupBy("cut").agg(F.collect_list("word").alias("words"), F.collect_list(F.coalesce("n", F.lit(0))).alias("ns"))
 
-def block_noise(rows: DataFrame, known: dict[str, int]) -> DataFrame:
-    """What a block shows by itself, without its text: one pass over the scan, nothing joined before.
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wholes, mores, lesses = [], [], []
+            for c, w, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                table = dict(zip(w, n))
+                left, mark, flat, right, *beyond = c.split("\x1f")
+                # A line of furniture may stand between the halves.
+                later = next((x for x in beyond if table.get(left + x, 0)), "")
+                if table.get(left + right, 0):
+                    later = ""
+                whole = cut_word(left, mark, later or right, table, bool(flat))
+                wholes.append(whole)
+                mores.append([x for x in [*(whole or f"{left}-{later or right}").split("-"), *([right] if later else [])] if x])
+                lesses.append(later or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wholes, pa.string()), _lists(mores, pa.string()), pa.array(lesses, pa.string())], ["cut", "whole", "more", "less"])
+
+    return known.mapInArrow(decide, "cut string, whole string, more array<string>, less string")
+
+
+def cut_between(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, cut) of blocks that end in a half word, with the first word of the next block of the document's body."""
+    body = rows.where("body AND document_id IS NOT NULL AND char_start IS NOT NULL").select("document_id", "char_start", "id", "tail", "mark", "head")
+    body = body.join(lines.where("whole").select("id").distinct(), "id", "left_anti")
+    followed = following(body, ["document_id"], ["char_start", "id"], "head", "after").where("tail IS NOT NULL AND (after IS NOT NULL OR mark IN ('¬', '\xad'))")
+    return followed.select("id", F.concat_ws("\x1f", "tail", "mark", F.lit(""), F.coalesce("after", F.lit(""))).alias("cut"))
 
-    ``body`` says whether it holds text, ``hyphen`` a word cut inside it,
-    ``cjk`` a misread CJK character, ``rare`` its words that aren't common,
-    ``tail`` and ``mark`` a half word at its end, ``head`` its first word.
+
+def misread(rows: DataFrame, more: DataFrame, less: DataFrame, fixes: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, word, fix): misread words of every block, with the likeliest original by context.
+
+    ``fixes`` of up to ``most`` words are looked up where the words lie, in one
+    pass over the column of words; more are joined.  Either way the candidates
+    of a word are ranked with the words of its own block.
     """
-    table = rows.sparkSession.sparkContext.broadcast(known)
-    source = rows.select("id", "document_id", "char_start", "kind", "text")
+    corrected = written(fixes)
+    own = rows.select("id", F.filter("words", lambda w: ~w.eqNullSafe(F.col("skip"))).alias("words"), F.lit(None).cast("array<struct<word:string,fixes:array<struct<fix:string,weight:double,n:bigint>>>>").alias("found"))
+    joined = more.join(corrected, "word").select("id", "word", "fixes")
+    share = corrected.count() <= most
+    if share:
+        table = corrected.toArrow()
+        broadcast = rows.sparkSession.sparkContext.broadcast(table)
+    else:
+        broadcast = None
+        hits = own.select("id", F.explode("words").alias("word")).join(corrected, "word").groupBy("id").agg(F.collect_list(F.struct("word", "fixes")).alias("found"))
+        own = own.drop("found").join(hits, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, dictionary = Folder(), table.value
+        if broadcast is not None:
+            keys, values = broadcast.value["word"].combine_chunks(), broadcast.value["fixes"]
         for batch in batches:
-            kinds, texts = (batch.column(i).to_pylist() for i in (3, 4))
-            found = []
-            asked: set[str] = set()
-            for t in texts:
-                t = t or ""
-                tokens, halves = words.words_of(t), words.cuts(t)
-                tail, head = _tail(t) if t else None, _HEAD.match(t)
-                inner = [(a, m, b, flat, _beyond(t, end) if b and not flat else []) for a, m, b, flat, end in halves if b]
-                found.append((tokens, inner, tail, head.group(1) if head else None))
-                asked.update(tokens)
-                for a, _, b, _, c in inner:
-                    asked.update((a, b, *c))
-                if tail:
-                    asked.add(tail[0])
-                if head:
-                    asked.add(head.group(1))
-            folded = folder(asked)
-            body, hyphen, cjk, rare, tails, marks, heads = [], [], [], [], [], [], []
-            for t, kind, (tokens, inner, tail, head) in zip(texts, kinds, found):
-                seen = {p for w in tokens for p in folded[w].split("-")}
-                cut_here = False
-                for a, m, b, flat, c in inner:
-                    left, right = folded[a], folded[b]
-                    # A line of furniture may stand between the halves.
-                    later = next((folded[w] for w in c if dictionary.get(left + folded[w], 0)), "")
-                    if later and not dictionary.get(left + right, 0):
-                        seen.discard(later)
-                        seen.add(right)
-                        whole = cut_word(left, m, later, dictionary)
-                    else:
-                        whole = cut_word(left, m, right, dictionary, flat)
-                    cut_here = cut_here or bool(whole)
-                    seen.update((whole or f"{left}-{right}").split("-"))
-                # The second half of a word cut between two blocks is no word.
-                if head and head[0].islower() and head.isalpha():
-                    seen.discard(folded[head])
-                body.append(bool(t) and kind != "table" and not t.isspace())
-                hyphen.append(cut_here)
-                cjk.append(bool(t) and bool(words.misread_cjk(t, dictionary)))
-                rare.append([w for w in seen if w not in dictionary and words.questioned(w)])
-                tails.append(folded[tail[0]] if tail else None)
-                marks.append(tail[1] if tail else None)
-                heads.append(folded[head] if head else None)
-            columns = [*batch.columns[:3], pa.array(body), pa.array(hyphen), pa.array(cjk), pa.array(rare, pa.list_(pa.string())), pa.array(tails, pa.string()), pa.array(marks, pa.string()), pa.array(heads, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "document_id", "char_start", "body", "hyphen", "cjk", "rare", "tail", "mark", "head"])
-
-    return source.mapInArrow(run, _NOISE)
-
+            ids, out = batch.column(0), []
+            if broadcast is not None:
+                lists = batch.column(1)
+                at = pc.index_in(lists.flatten(), value_set=keys)
+                hit = np.nonzero(np.asarray(at.is_valid()))[0]
+                parents = np.asarray(pc.list_parent_indices(lists))[hit]
+                places = np.asarray(at.take(pa.array(hit)))
+                present = {i: set(lists[i].as_py()) for i in set(parents.tolist())}
+                for i, j in zip(parents.tolist(), places.tolist()):
+                    out.append((ids[i].as_py(), keys[j].as_py(), words.choose(values[j].as_py(), present[i])))
+            else:
+                for i, w, found in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                    out += [(i, f["word"], words.choose(f["fixes"], set(w))) for f in found]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.string()) for c in range(3)], ["id", "word", "fix"])
+
+    inside = own.select("id", "words", "found").mapInArrow(run, "id string, word string, fix string")
+    apart = joined.select("id", "word", F.col("fixes")[0]["fix"].alias("fix"))
+    return inside.join(less, ["id", "word"], "left_anti").unionByName(apart)
+
+
+def printed_characters(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(around, printed): misread CJK characters between their neighbours.
+
+    The pairs looked up hold one of a fixed few characters each, so their
+    number is bounded by that of the characters of the script.
+    """
+    pairs = counts.where(F.col("word").rlike(f"^[{CJK}]{{2}}$")).toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(pairs["word"].to_pylist(), pairs["n"].to_pylist())))
 
-def _evidence(blocks: DataFrame, sections: DataFrame, versions: DataFrame):
-    """(rows, furniture lines, known words, block noise, corrections), each computed once."""
-    rows = _distinct(blocks)
-    counts = cut(words.count_words(blocks, "text"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    known = known_words(counts, total)
-    lines = cut(furniture(rows, sections, versions))
-    noise = cut(block_noise(rows, known))
-    return rows, lines, known, noise, words.corrections(counts, total)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(a, c) for a in batch.column(0).to_pylist() if (c := words.printed_cjk(a, shared.value))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(2)], ["around", "printed"])
+
+    return rows.select(F.explode("around").alias("around")).distinct().mapInArrow(run, "around string, printed string")
+
+
+@dataclass
+class Evidence:
+    """What is known of the blocks: all tables by id of the block."""
+
+    rows: DataFrame
+    lines: DataFrame
+    inner: DataFrame
+    between: DataFrame
+    fixed: DataFrame
+    glyphs: DataFrame
+
+
+def evidence(blocks: DataFrame, sections: DataFrame, versions: DataFrame) -> Evidence:
+    """Furniture lines (id, line, whole, noise), words cut inside and between blocks (id, whole), misread words (id, word, fix) and characters (id, around, printed)."""
+    longest = longest_title(sections, versions)
+    rows, counts = once(written(read_blocks(blocks, longest)))
+    counts = written(counts)
+    lines = written(furniture(rows, sections, versions, longest))
+    cuts = rows.where(F.size("cuts") > 0).select("id", F.explode("cuts").alias("cut"), F.lit(False).alias("ends"))
+    cuts = written(cuts.unionByName(cut_between(rows, lines).withColumn("ends", F.lit(True))))
+    known = written(cuts.join(bounded(decided(cuts, counts)), "cut").select("id", "whole", "more", "less", "ends"))
+    more = known.where("NOT ends").select("id", F.explode("more").alias("word")).distinct()
+    less = known.where("NOT ends AND less IS NOT NULL").select("id", F.col("less").alias("word")).distinct()
+    fixed = misread(rows, more, less, words.corrections(counts))
+    around = rows.where(F.size("around") > 0).select("id", F.explode("around").alias("around"))
+    glyphs = around.join(bounded(printed_characters(rows, counts)), "around")
+    whole = known.where("whole IS NOT NULL").select("id", "whole", "ends")
+    return Evidence(rows, lines, whole.where("NOT ends").drop("ends"), whole.where("ends").drop("ends"), fixed, glyphs)
 
 
 def find_noise(blocks: DataFrame, sections: DataFrame, versions: DataFrame) -> DataFrame:
@@ -369,66 +547,37 @@ def find_noise(blocks: DataFrame, sections: DataFrame, versions: DataFrame) -> D
     Null, empty and blank texts hold none; repeated rows count once; blocks
     without a page, coordinates or section are judged by what they have.
     """
-    _, lines, known, noise, fixes = _evidence(blocks, sections, versions)
-    misread = noise.select("id", F.explode("rare").alias("word")).join(fixes.select("word"), "word", "left_semi").select("id")
-    misread = misread.unionByName(noise.where("cjk").select("id")).distinct()
-    hyphen = noise.where("hyphen").select("id").unionByName(_cut_at_end(noise, lines, known)).distinct()
-    return (
-        lines.select("id", "noise").distinct()
-        .unionByName(hyphen.select("id", F.lit("hyphen").alias("noise")))
-        .unionByName(misread.select("id", F.lit("misread").alias("noise")))
-    )
-
-
-def _cut_at_end(noise: DataFrame, lines: DataFrame, known: dict[str, int]) -> DataFrame:
-    """Ids of blocks whose last word goes on in the next block of the document's body."""
-    table = noise.sparkSession.sparkContext.broadcast(known)
-    body = noise.where("body AND document_id IS NOT NULL AND char_start IS NOT NULL").select("document_id", "char_start", "id", "tail", "mark", "head").distinct()
-    body = body.join(lines.where("whole").select("id").distinct(), "id", "left_anti")
-    followed = following(body, ["document_id"], ["char_start", "id"], "head", "next_head").where("tail IS NOT NULL")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tails, marks, heads = (batch.column(i) for i in range(4))
-            cuts = [bool(cut_word(t, m, h, table.value)) for t, m, h in zip(tails.to_pylist(), marks.to_pylist(), heads.to_pylist())]
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(cuts))], ["id"])
-
-    return followed.select("id", "tail", "mark", "next_head").mapInArrow(run, "id string")
+    e = evidence(blocks, sections, versions)
+    named = lambda df, noise: df.select("id", F.lit(noise).alias("noise"))
+    hyphen = named(e.inner, "hyphen").unionByName(named(e.between, "hyphen"))
+    wrong = named(e.fixed, "misread").unionByName(named(e.glyphs, "misread"))
+    return e.lines.select("id", "noise").unionByName(hyphen).unionByName(wrong).distinct()
 
 
 _STOP = re.compile(r"[.!?…。！？:：;；\"”»)\]]\s*$")
 _BETWEEN_CJK = re.compile(rf"(?<=[{CJK}，。！？；：、])[ \t]*(?:\r\n|\n|\r)[ \t]*(?=[{CJK}])")
 
 
-def mend(text: str, drop: set[int], fixes: dict[str, list[str]], known: dict[str, int], folder: Folder) -> str:
-    """One block without furniture, its cut words joined, misread characters replaced, lines reflowed.
-
-    Of several likely originals the one that occurs elsewhere in the block wins.
-    """
+def mend(text: str, drop: set[int], fixes: dict[str, str], wholes: set[str], printed: dict[str, str], folder: Folder) -> str:
+    """One block without furniture, its cut words joined, misread words and characters replaced, lines reflowed."""
     if drop:
         text = "\n".join(x for k, x in enumerate(_LINE.split(text)) if k not in drop)
-    letters = list(text)
-    for i, c in words.misread_cjk(text, known):
-        letters[i] = c
-    text = "".join(letters)
+    text = words.replace_cjk(text, printed)
 
     def rejoin(m: re.Match) -> str:
         left, mark, right = m.group(1), m.group(2), m.group(3) or m.group(4)
         if not right:
             return m.group(0)
         folded = folder({left, right})
-        whole = cut_word(folded[left], mark, folded[right], known, m.group(4) is not None)
-        return left + right if whole else f"{left}{mark}{right}"
+        return left + right if folded[left] + folded[right] in wholes else f"{left}{mark}{right}"
 
     text = CUT.sub(rejoin, text)
     if fixes:
         present = set(words.words_of(text))
         folded = folder(present)
-        there = {folded[w] for w in present}
         for w in present:
-            likely = fixes.get(folded[w])
-            if likely:
-                best = next((x for x in likely if x in there), likely[0])
+            best = fixes.get(folded[w])
+            if best:
                 cased = best.upper() if w.isupper() and len(w) > 1 else best.capitalize() if w[0].isupper() else best
                 text = re.sub(rf"(?<![^\W_]){re.escape(w)}(?![^\W_])", lambda m, x=cased: x, text)
     text = _BETWEEN_CJK.sub("", text)
@@ -444,42 +593,31 @@ def repair_text(blocks: DataFrame, sections: DataFrame, versions: DataFrame) ->
     document is gathered: the next block is looked up by range, paragraphs are
     numbered by range counts, and only a paragraph's own blocks meet.
     """
-    rows, lines, known, noise, fixes = _evidence(blocks, sections, versions)
-    table = rows.sparkSession.sparkContext.broadcast(known)
-    dropped = lines.groupBy("id").agg(F.collect_set("line").alias("drop"))
-    wrong = noise.select("id", F.explode("rare").alias("word")).distinct().join(fixes, "word")
-    wrong = wrong.groupBy("id").agg(F.collect_list(F.struct("word", "fixes")).alias("wrong"))
-    body = rows.where("kind <> 'table' AND text IS NOT NULL AND document_id IS NOT NULL AND char_start IS NOT NULL").select("id", "document_id", "char_start", "text").distinct()
-    joined = body.join(dropped, "id", "left").join(wrong, "id", "left").select("id", "document_id", "char_start", "text", "drop", "wrong")
+    e = evidence(blocks, sections, versions)
+    dropped = e.lines.groupBy("id").agg(F.collect_set("line").alias("drop"))
+    wrong = e.fixed.groupBy("id").agg(F.collect_set(F.struct("word", "fix")).alias("wrong"))
+    wholes = e.inner.groupBy("id").agg(F.collect_set("whole").alias("wholes"))
+    glyphs = e.glyphs.groupBy("id").agg(F.collect_set(F.struct("around", "printed")).alias("glyphs"))
+    cut_here = e.between.select("id", F.lit(True).alias("cut")).distinct()
+    body = blocks.where("kind <> 'table' AND text IS NOT NULL AND document_id IS NOT NULL AND char_start IS NOT NULL").select("id", "document_id", "char_start", "text").distinct()
+    joined = body.join(dropped, "id", "left").join(wrong, "id", "left").join(wholes, "id", "left").join(glyphs, "id", "left").join(cut_here, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, dictionary = Folder(), table.value
+        folder = Folder()
         for batch in batches:
-            texts, drops, wrongs = (batch.column(i).to_pylist() for i in (3, 4, 5))
-            done = [mend(t, set(d or ()), {x["word"]: x["fixes"] for x in w or ()}, dictionary, folder) for t, d, w in zip(texts, drops, wrongs)]
-            edges = [_EDGE.search(t[-90:]) for t in done]
+            done = [
+                mend(t, set(d or ()), {x["word"]: x["fix"] for x in w or ()}, set(h or ()), {x["around"]: x["printed"] for x in g or ()}, folder)
+                for t, d, w, h, g in zip(*(batch.column(i).to_pylist() for i in range(4, 9)))
+            ]
             heads = [_HEAD.match(t) for t in done]
-            folder({m.group(1) for m in (*edges, *heads) if m})
-            name = lambda m: folder.known[m.group(1)] if m else None
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[:3], pa.array(done, pa.string()), pa.array([name(m) for m in edges], pa.string()), pa.array([m.group(2) if m else None for m in edges], pa.string()),
-                    pa.array([bool(_STOP.search(t)) for t in done]), pa.array([f"{m.group(1)[0].islower():d}{name(m)}" if m else None for m in heads], pa.string()),
-                ],
-                ["id", "document_id", "char_start", "text", "tail", "mark", "stops", "head"],
-            )
-
-    mended = joined.mapInArrow(run, "id string, document_id string, char_start int, text string, tail string, mark string, stops boolean, head string").where("text <> ''")
-    chained = following(mended, ["document_id"], ["char_start", "id"], "head", "after")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tails, marks, stops, after = (batch.column(i).to_pylist() for i in (4, 5, 6, 7))
-            cuts = [bool(t and a and cut_word(t, m, a[1:], table.value)) for t, m, a in zip(tails, marks, after)]
-            runs = [c or bool(not s and a and a[0] == "1") for c, s, a in zip(cuts, stops, after)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cuts), pa.array([0 if r else 1 for r in runs], pa.int64())], ["id", "document_id", "char_start", "text", "cut", "ends"])
-
-    linked = chained.select("id", "document_id", "char_start", "text", "tail", "mark", "stops", "after").mapInArrow(link, "id string, document_id string, char_start int, text string, cut boolean, ends long")
+            stops, low = pa.array([bool(_STOP.search(t)) for t in done]), pa.array([bool(m and m.group(1)[0].islower()) for m in heads])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(done, pa.string()), stops, low], ["id", "document_id", "char_start", "cut", "text", "stops", "low"])
+
+    mended = joined.select("id", "document_id", "char_start", F.coalesce("cut", F.lit(False)).alias("cut"), "text", "drop", "wrong", "wholes", "glyphs")
+    mended = mended.mapInArrow(run, "id string, document_id string, char_start int, cut boolean, text string, stops boolean, low boolean").where("text <> ''")
+    chained = following(mended, ["document_id"], ["char_start", "id"], "low", "next_low")
+    goes_on = F.col("cut") | (~F.col("stops") & F.coalesce("next_low", F.lit(False)))
+    linked = chained.select("id", "document_id", "char_start", "text", "cut", F.when(goes_on, 0).otherwise(1).cast("long").alias("ends"))
     numbered = cumulative(linked, ["document_id"], ["char_start", "id"], "ends")
     parts = F.array_sort(F.collect_list(F.struct("char_start", "id", "text", "cut")))
     glued = F.aggregate(parts, F.struct(F.lit("").alias("t"), F.lit(True).alias("glue")), lambda a, p: F.struct(

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,16 +13,15 @@ from pyspark.sql import functions as F
 from lectern.llm.levenshtein import Trie
 from lectern.llm.same_look import fold_array
 
-#: Share of all words from which a word is common: it isn't questioned, and it is broadcast with its count.
-#: The bound of that broadcast is the inverse: 50,000 words.
-COMMON = 2e-5
 #: A correction must be this many times as frequent as what was read; less if a digit was read inside a word.
 TIMES, TIMES_DIGIT = 8, 2
+#: From this many blocks on a form is hardly a chance reading: the times rise with it, up to the most that is asked of any.
+STEADY, MOST_TIMES = 40, 100
 #: Least count of a word that corrects others, and length of a word that is questioned.
-LEAST_COUNT, SHORTEST, LONGEST = 5, 3, 30
+LEAST_COUNT, SHORTEST = 5, 3
 DISTANCE = 2
-#: Vocabulary words and questioned words that meet in one task.
-VOCABULARY_BLOCK, QUESTIONED_BLOCK = 100_000, 20_000
+#: Vocabulary words of one trie, and questioned words that meet it in one task.
+VOCABULARY_BLOCK, QUESTIONED_BLOCK = 100_000, 100_000
 
 # Fixed values: (as read, as printed), letters that recognition mixes up.
 CONFUSED = (
@@ -51,8 +48,6 @@ _TOKEN_ASCII = re.compile(r"(?<![+/=@#\\\w])([A-Za-z0-9]++(?:[-(|!$][A-Za-z0-9]+
 _TOKEN_PLAIN = re.compile(rf"(?<![+/=@#\\\w])([^\W_{CJK}぀-ヿ]++(?:[-‐‑(|!$][^\W_{CJK}぀-ヿ]++)*+)(?![+/=_@#\\])")
 #: Capitals inside a word, but for an I read for an l.
 _JUNK = re.compile(r"[a-z0-9][A-HJ-Z]")
-_PART = re.compile(r"[^-‐‑]+")
-_LINE = re.compile(r"\r\n|\n|\r")
 HALF = rf"{_LETTERS}(?:[-‐‑'’]{_LETTERS})*"
 _MARK_AT_END = re.compile(r"[-‐‑¬\xad](?:\s|$)")
 #: Both halves of a word cut at a line end, also where the line ends have become spaces (the fourth group
@@ -60,8 +55,7 @@ _MARK_AT_END = re.compile(r"[-‐‑¬\xad](?:\s|$)")
 CUT = re.compile(rf"(?<![^\W_])({HALF})([-‐‑¬\xad])(?:[ \t]*(?:\r\n|\n|\r)[ \t]*({HALF})?|[ \t]+({HALF})|[ \t]*$)")
 _RARE_CJK = frozenset("".join(CJK_CONFUSED))
 _OTHERS = {c: g.replace(c, "") for g in CJK_CONFUSED for c in g}
-_BREAK = re.compile(rf"(?<=[{CJK}])[ \t]*(?:\r\n|\n|\r)[ \t]*(?=[{CJK}])")
-_PAIR = re.compile(rf"(?=([{CJK}]{{2}}))")
+_CONFUSED_CJK = re.compile("[" + "".join(CJK_CONFUSED) + "]")
 
 
 def fold_words(words: list[str]) -> list[str]:
@@ -86,60 +80,34 @@ class Folder:
         return self.known
 
 
-def words_of(text: str) -> list[str]:
-    """Words and hyphenated compounds of a text, without words cut at a line end."""
-    if _MARK_AT_END.search(text):
+def words_of(text: str, marked: bool | None = None) -> list[str]:
+    """Words and hyphenated compounds of a text, without words cut at a line end (``marked``: whether there may be any)."""
+    if _MARK_AT_END.search(text) if marked is None else marked:
         text = CUT.sub(" ", text)
     pattern = _TOKEN_ASCII if text.isascii() else _TOKEN if _SPECIAL.search(text) else _TOKEN_PLAIN
     return [w for w in pattern.findall(text) if w.islower() or not _JUNK.search(w)]
 
 
+def marked(text: str) -> bool:
+    """Whether a mark that cuts words stands at a line end."""
+    return bool(_MARK_AT_END.search(text))
+
+
 def cuts(text: str) -> list[tuple[str, str, str | None, bool, int]]:
     """(first half, mark, second half, whether spaces stand for the line end, end of the match) of words cut at a line end."""
-    if not _MARK_AT_END.search(text):
-        return []
     return [(m.group(1), m.group(2), m.group(3) or m.group(4), m.group(4) is not None, m.end()) for m in CUT.finditer(text)]
 
 
-def cjk_pairs(text: str) -> list[str]:
-    """Neighbouring CJK characters of which one is easily confused, across line ends."""
-    if _RARE_CJK.isdisjoint(text):
-        return []
-    return [p for p in _PAIR.findall(_BREAK.sub("", text)) if p[0] in _RARE_CJK or p[1] in _RARE_CJK]
-
+def surroundings(text: str) -> set[str]:
+    """Every easily confused CJK character between its CJK neighbours (a blank for none), across line ends."""
+    if text.isascii() or _RARE_CJK.isdisjoint(text):
+        return set()
+    return {f"{_neighbour(text, m.start(), -1) or ' '}{m.group()}{_neighbour(text, m.start(), 1) or ' '}" for m in _CONFUSED_CJK.finditer(text)}
 
-def count_words(blocks: DataFrame, text: str) -> DataFrame:
-    """(word, n): words, compounds (joined by -) and CJK pairs over all rows.
-
-    Each task counts for itself first.  A second delivery of a row weighs in
-    these statistics like any text; results count it once.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder, total = Folder(), Counter()
-        for batch in batches:
-            raw: Counter[str] = Counter()
-            for t in batch.column(0).to_pylist():
-                if t:
-                    raw.update(words_of(t))
-                    total.update(cjk_pairs(t))
-            folded = folder(raw.keys())
-            for w, n in raw.items():
-                f = folded[w]
-                total[f] += n
-                if "-" in f:
-                    for part in f.split("-"):
-                        total[part] += n
-            if len(total) > 500_000:
-                yield _counts(total)
-                total = Counter()
-        yield _counts(total)
-
-    return blocks.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word <> ''")
-
-
-def _counts(total: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+def pairs_of(around: set[str]) -> set[str]:
+    """The pairs of CJK characters in `surroundings`."""
+    return {p for x in around for p in (x[:2], x[1:]) if " " not in p}
 
 
 @lru_cache(maxsize=1)
@@ -175,94 +143,103 @@ def explained(read: str, printed: str) -> float:
     return 0.0
 
 
-def questioned(word: str) -> bool:
-    """Whether a rare word can be a misread one: letters, at most two digits among them."""
-    digits = sum(not c.isalpha() for c in word)
-    return SHORTEST <= len(word) <= LONGEST and "-" not in word and digits <= 2 and len(word) - digits >= 2 and not _CJK_WORD.match(word)
+_CJK_WORD = re.compile(f"[{CJK}]")
 
 
-_CJK_WORD = re.compile(f"[{CJK}]")
+def enough(read: str, n: int, printed_n: int) -> bool:
+    """Whether a word is so much more frequent than a form in ``n`` blocks that the form may be a misreading of it.
 
+    Chance misreadings of one word into one form are a small share of it.  A
+    form met often is more likely a word of its own, so the share that is
+    allowed falls as the evidence grows, to one in a hundred; it doesn't
+    depend on the size of the corpus.
+    """
+    times = TIMES_DIGIT if not read.isalpha() else TIMES
+    return printed_n >= n * max(times, min(MOST_TIMES, times * n / STEADY))
 
-def corrections(counts: DataFrame, total: int) -> DataFrame:
-    """(word, fixes): for every rare word that recognition explains, its likely originals, best first.
 
-    Every questioned word meets every vocabulary word whose length differs by
-    at most the distance.  Vocabulary and questioned words are cut into blocks
-    by length and hash, and each pair of blocks is one group: a stated set
-    against all words, of bounded size in every task, nothing left out.
+def corrections(counts: DataFrame) -> DataFrame:
+    """(word, fixes): for every word that recognition explains as a misreading of another, its likely originals.
+
+    ``fixes`` is an array of (fix, weight, n), the best explained and most
+    frequent first.  Every questioned word meets every vocabulary word whose
+    length differs by at most the distance.  The vocabulary is cut into blocks
+    by length and hash, each of which is a trie; only questions, blocked by
+    hash, are sent to the tries of near lengths: a stated set against all
+    words, of bounded size in every task, nothing left out.
     """
-    common = COMMON * total
-    rows = counts.where(~F.col("word").rlike(f"[{CJK}-]")).withColumn("_length", F.length("word")).where(F.col("_length").between(SHORTEST - DISTANCE, LONGEST + DISTANCE))
-    vocabulary = rows.where((F.col("n") >= LEAST_COUNT) & ~F.col("word").rlike("[0-9(|!$]"))
-    asked = rows.where((F.col("n") < F.greatest(F.lit(common), F.lit(LEAST_COUNT * TIMES * 1.0))) & F.col("_length").between(SHORTEST, LONGEST))
-    asked = asked.where(F.length(F.regexp_replace("word", "[^0-9(|!$]", "")) <= 2)
-    # At most LONGEST + DISTANCE rows each.
+    rows = counts.where(~F.col("word").rlike(f"[{CJK}-]")).withColumn("_length", F.length("word"))
+    odd = F.length(F.regexp_replace("word", r"\p{L}", ""))
+    vocabulary = rows.where((F.col("n") >= LEAST_COUNT) & (F.col("_length") >= SHORTEST - DISTANCE) & ~F.col("word").rlike("[0-9(|!$]"))
+    asked = rows.where((F.col("_length") >= SHORTEST) & (odd <= 2) & (F.col("_length") - odd >= 2))
+    # One row for each length of a word: as many as the longest word has letters at most.
     sizes = {r["_length"]: r["n"] for r in vocabulary.groupBy("_length").agg(F.count("*").alias("n")).collect()}
-    asks = {r["_length"]: r["n"] for r in asked.groupBy("_length").agg(F.count("*").alias("n")).collect()}
-    cuts_v = {k: -(-v // VOCABULARY_BLOCK) for k, v in sizes.items()}
-    cuts_q = {k: -(-v // QUESTIONED_BLOCK) for k, v in asks.items()}
-    lengths = F.array(*[F.lit(k) for k in sorted(asks)]) if asks else F.array().cast("array<int>")
-    as_map = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.lit(None).cast("map<int,int>")
-    part = lambda n: F.pmod(F.xxhash64("word"), n).cast("int")
-    # A vocabulary block goes to all blocks of questioned words of a near length, and the other way round.
+    if not sizes:
+        return counts.select("word", F.array().cast("array<struct<fix:string,weight:double,n:bigint>>").alias("fixes")).where("1 = 0")
+    blocks_v = {k: -(-v // VOCABULARY_BLOCK) for k, v in sizes.items()}
+    blocks_q = max(1, -(-asked.count() // QUESTIONED_BLOCK))
+    tries = F.create_map(*[F.lit(x) for kv in blocks_v.items() for x in kv])
+    hashed = F.xxhash64("word")
     v = vocabulary.select(
-        "word", "n", F.col("_length").alias("lv"), part(F.element_at(as_map(cuts_v), F.col("_length"))).alias("pv"),
-        F.explode(F.filter(lengths, lambda x: F.abs(x - F.col("_length")) <= DISTANCE)).alias("lq"),
-    )
-    v = v.select("word", "n", "lv", "pv", "lq", F.explode(F.sequence(F.lit(0), F.element_at(as_map(cuts_q), F.col("lq")) - 1)).alias("pq"), F.lit(False).alias("ask"))
-    lengths_v = F.array(*[F.lit(k) for k in sorted(sizes)]) if sizes else F.array().cast("array<int>")
-    q = asked.select(
-        "word", "n", F.col("_length").alias("lq"), part(F.element_at(as_map(cuts_q), F.col("_length"))).alias("pq"),
-        F.explode(F.filter(lengths_v, lambda x: F.abs(x - F.col("_length")) <= DISTANCE)).alias("lv"),
+        "word", "n", F.col("_length").alias("lv"), F.pmod(hashed, F.element_at(tries, F.col("_length"))).cast("int").alias("pv"),
+        F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1))).alias("pq"), F.lit(False).alias("ask"),
     )
-    q = q.select("word", "n", "lv", F.explode(F.sequence(F.lit(0), F.element_at(as_map(cuts_v), F.col("lv")) - 1)).alias("pv"), "lq", "pq", F.lit(True).alias("ask"))
+    near = F.filter(F.array(*[F.lit(k) for k in sorted(sizes)]), lambda x: F.abs(x - F.col("_length")) <= DISTANCE)
+    q = asked.select("word", "n", F.explode(near).alias("lv"), F.pmod(hashed, F.lit(blocks_q)).cast("int").alias("pq"))
+    q = q.select("word", "n", "lv", F.explode(F.sequence(F.lit(0), F.element_at(tries, F.col("lv")) - 1)).alias("pv"), "pq", F.lit(True).alias("ask"))
 
     def search(table: pa.Table) -> pa.Table:
-        ask = np.asarray(table["ask"])
-        word = np.asarray(table["word"].to_pandas(), dtype=object)
-        n = np.asarray(table["n"])
+        ask, word, n = (np.asarray(table[c].to_pandas()) for c in ("ask", "word", "n"))
         count = dict(zip(word[~ask], n[~ask].tolist()))
-        questions = dict(zip(word[ask], n[ask].tolist()))
-        names = [w for w in questions if questioned(w)]
+        most = max(count.values(), default=0)
+        # A word that no word of this trie outnumbers can't be a misreading of one.
+        names, times = [], []
+        for w, m in zip(word[ask], n[ask].tolist()):
+            if enough(w, m, most):
+                names.append(w)
+                times.append(m)
         out: list[tuple[str, str, float, int]] = []
         if names and count:
             trie = Trie(list(count))
             for i, j in trie.within(names, DISTANCE):
                 read, printed = names[i], trie.words[j]
-                if read == printed:
-                    continue
-                times = TIMES_DIGIT if not read.isalpha() else TIMES
-                if count[printed] >= times * questions[read] and (w := explained(read, printed)):
+                if read != printed and enough(read, times[i], count[printed]) and (w := explained(read, printed)):
                     out.append((read, printed, w, count[printed]))
         columns = list(zip(*out)) or [[], [], [], []]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()))], ["word", "fix", "weight", "n"])
 
-    found = v.unionByName(q).groupBy("lv", "pv", "lq", "pq").applyInArrow(search, "word string, fix string, weight double, n long")
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), (-F.col("n")).alias("n"), "fix")))
-    return found.groupBy("word").agg(F.transform(ranked, lambda x: x["fix"]).alias("fixes"))
-
-
-def misread_cjk(text: str, pairs: dict[str, int]) -> list[tuple[int, str]]:
-    """(position, character printed) of CJK characters whose neighbours speak for a look-alike."""
-    if _RARE_CJK.isdisjoint(text):
-        return []
-    found = []
-    n = len(text)
-    for i, c in enumerate(text):
-        others = _OTHERS.get(c)
-        if not others:
-            continue
-        p, q = _neighbour(text, i, -1), _neighbour(text, i, 1)
-        for o in others:
-            left, left_o = (pairs.get(p + c, 0), pairs.get(p + o, 0)) if p else (0, 0)
-            right, right_o = (pairs.get(c + q, 0), pairs.get(o + q, 0)) if q else (0, 0)
-            for_other = (right_o >= CJK_LEAST and right_o >= CJK_TIMES * right) or (left_o >= CJK_LEAST and left_o >= CJK_TIMES * left)
-            for_this = (right >= CJK_LEAST and right >= CJK_TIMES * right_o) or (left >= CJK_LEAST and left >= CJK_TIMES * left_o)
-            if for_other and not for_this:
-                found.append((i, o))
-                break
-    return found
+    found = v.unionByName(q.select(v.columns)).groupBy("lv", "pv", "pq").applyInArrow(search, "word string, fix string, weight double, n long")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), (-F.col("n")).alias("m"), "fix")))
+    return found.groupBy("word").agg(F.transform(ranked, lambda x: F.struct(x["fix"].alias("fix"), (-x["w"]).alias("weight"), (-x["m"]).alias("n"))).alias("fixes"))
+
+
+def choose(fixes: list[dict], present: set[str]) -> str:
+    """The likeliest original of a word: one that occurs elsewhere in the text comes before a better explained, then a more frequent one."""
+    return min(fixes, key=lambda f: (f["fix"] not in present, -f["weight"], -f["n"], f["fix"]))["fix"]
+
+
+def printed_cjk(around: str, pairs: dict[str, int]) -> str | None:
+    """The character printed, of an easily confused one between its neighbours that speak for a look-alike."""
+    p, c, q = around
+    for o in _OTHERS[c]:
+        left, left_o = pairs.get(p + c, 0), pairs.get(p + o, 0)
+        right, right_o = pairs.get(c + q, 0), pairs.get(o + q, 0)
+        for_other = (right_o >= CJK_LEAST and right_o >= CJK_TIMES * right) or (left_o >= CJK_LEAST and left_o >= CJK_TIMES * left)
+        for_this = (right >= CJK_LEAST and right >= CJK_TIMES * right_o) or (left >= CJK_LEAST and left >= CJK_TIMES * left_o)
+        if for_other and not for_this:
+            return o
+    return None
+
+
+def replace_cjk(text: str, printed: dict[str, str]) -> str:
+    """``text`` with the characters whose `surroundings` are keys of ``printed`` replaced."""
+    if not printed:
+        return text
+    letters = list(text)
+    for m in _CONFUSED_CJK.finditer(text):
+        around = f"{_neighbour(text, m.start(), -1) or ' '}{m.group()}{_neighbour(text, m.start(), 1) or ' '}"
+        letters[m.start()] = printed.get(around, m.group())
+    return "".join(letters)
 
 
 def _neighbour(text: str, i: int, step: int) -> str:
