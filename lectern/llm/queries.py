@@ -20,7 +20,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five most similar of every hundredth chunk (by hash of its id), among all chunks."""
-    found = similar_vectors.neighbours(load(spark, folder, "vectors"), "chunk_id", "dense", probes=similar_vectors.WIDE, one_in=100)
+    found = similar_vectors.neighbours(load(spark, folder, "vectors"), "chunk_id", "dense", wide=similar_vectors.WIDE, one_in=100)
     return found.withColumn("cosine", F.round("cosine", 6))
 
 

@@ -341,7 +341,7 @@ def titles(features: DataFrame, sections: DataFrame, versions: DataFrame, longes
 
 def furniture(rows: DataFrame, sections: DataFrame, versions: DataFrame, longest: Longest) -> DataFrame:
     """(id, line, whole, noise): lines that are page furniture, ``running`` or ``page_number``."""
-    features = rows.where(F.size("lines") > 0).select("document_id", "id", "section_id", "page", "char_start", "top", F.inline("lines"))
+    features = written(rows.where(F.size("lines") > 0).select("document_id", "id", "page", "char_start", "top", F.inline("lines")))
     known = titles(features, sections, versions, longest)
     margin = F.coalesce((F.col("top") < TOP_MARGIN) | (F.col("top") > BOTTOM_MARGIN), F.lit(False))
     keyed = features.where("key IS NOT NULL")
@@ -459,7 +459,7 @@ def misread(rows: DataFrame, more: DataFrame, less: DataFrame, fixes: DataFrame,
     of a word are ranked with the words of its own block.
     """
     corrected = written(fixes)
-    own = rows.select("id", F.filter("words", lambda w: ~w.eqNullSafe(F.col("skip"))).alias("words"), F.lit(None).cast("array<struct<word:string,fixes:array<struct<fix:string,weight:double,n:bigint>>>>").alias("found"))
+    own = rows.select("id", "words", "skip", F.lit(None).cast("array<struct<word:string,fixes:array<struct<fix:string,weight:double,n:bigint>>>>").alias("found"))
     joined = more.join(corrected, "word").select("id", "word", "fixes")
     share = corrected.count() <= most
     if share:
@@ -467,7 +467,7 @@ def misread(rows: DataFrame, more: DataFrame, less: DataFrame, fixes: DataFrame,
         broadcast = rows.sparkSession.sparkContext.broadcast(table)
     else:
         broadcast = None
-        hits = own.select("id", F.explode("words").alias("word")).join(corrected, "word").groupBy("id").agg(F.collect_list(F.struct("word", "fixes")).alias("found"))
+        hits = own.select("id", "skip", F.explode("words").alias("word")).where("NOT word <=> skip").join(corrected, "word").groupBy("id").agg(F.collect_list(F.struct("word", "fixes")).alias("found"))
         own = own.drop("found").join(hits, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,13 +483,14 @@ def misread(rows: DataFrame, more: DataFrame, less: DataFrame, fixes: DataFrame,
                 places = np.asarray(at.take(pa.array(hit)))
                 present = {i: set(lists[i].as_py()) for i in set(parents.tolist())}
                 for i, j in zip(parents.tolist(), places.tolist()):
-                    out.append((ids[i].as_py(), keys[j].as_py(), words.choose(values[j].as_py(), present[i])))
+                    if (w := keys[j].as_py()) != batch.column(2)[i].as_py():
+                        out.append((ids[i].as_py(), w, words.choose(values[j].as_py(), present[i])))
             else:
-                for i, w, found in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                for i, w, found in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
                     out += [(i, f["word"], words.choose(f["fixes"], set(w))) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.string()) for c in range(3)], ["id", "word", "fix"])
 
-    inside = own.select("id", "words", "found").mapInArrow(run, "id string, word string, fix string")
+    inside = own.select("id", "words", "skip", "found").mapInArrow(run, "id string, word string, fix string")
     apart = joined.select("id", "word", F.col("fixes")[0]["fix"].alias("fix"))
     return inside.join(less, ["id", "word"], "left_anti").unionByName(apart)
 

@@ -1,12 +1,12 @@
 """The most similar vectors of every vector, by additive quantisation.
 
 A vector is approximated by a sum of codewords, one from each of several
-full-dimensional codebooks, each trained on the residuals the ones before it
-leave; the codes are found by beam search.  The first codebook also names the
-list a vector is stored in.  A query visits the lists of its nearest first
-codewords, scores what lies there from lookup tables (one inner product per
-codeword instead of one per vector) and the stored norms of the sums, and the
-best are reranked by the exact cosine.
+full-dimensional codebooks.  The first two codebooks name the list a vector is
+stored in: the pair whose sum is nearest, of all pairs.  The later ones are
+trained on the residuals the ones before leave; their codes are found by beam
+search.  A query visits the lists nearest to it, scores what lies there from
+lookup tables (one inner product per codeword instead of one per vector) and
+the stored norms of the sums, and the best are reranked by the exact cosine.
 """
 
 from __future__ import annotations
@@ -19,47 +19,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import written
+
 DIM = 64
-#: Vectors the codebooks are fitted on, at most: a bounded sample by hash of the id; every vector is indexed.
+#: Vectors the codebooks are fitted on, at most: a bounded sample by hash of the direction; every vector is indexed.
 SAMPLE = 32_768
 #: Later codebooks, their size, and the width of the beam.
 STAGES, CODEWORDS, BEAM = 3, 256, 4
-#: First codewords at most.
-MOST_LISTS = 2_048
-#: Items of one list that one task scores together; larger lists are split.
-SEGMENT = 16_384
-#: Best scored items reranked exactly, per query and list.
-RERANKED = 16
+#: Items, and queries, of one row of lists (those of one first codeword) that meet in one task; more are split.
+SEGMENT, QUERIES = 131_072, 262_144
+#: Best scored items reranked exactly, per query and list: so many, or a share of the list where every neighbour counts.
+RERANKED, RERANKED_WIDE = 16, 0.25
 ROUNDS = 6
-#: Lists visited where every neighbour counts, not only close ones: most of them, as directions without a
-#: close neighbour have their nearest anywhere.
-WIDE = 1_024
+#: Lists visited for close neighbours as a multiple of the root of all lists (what it takes grows about so), and the share
+#: of lists visited where every neighbour counts: directions without a close neighbour have their nearest anywhere.
+CLOSE, CLOSE_LEAST, WIDE = 1.5, 16, 0.6
 
 
 @dataclass
 class Codebooks:
-    """``first`` (lists x dim) and ``later`` (stages x codewords x dim)."""
+    """``first`` and ``second`` (each codewords x dim) and ``later`` (stages x codewords x dim)."""
 
     first: np.ndarray
+    second: np.ndarray
     later: np.ndarray
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(list, later codes, norm of the sum of codewords) of each row.
+    @property
+    def lists(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        """The sums of the two codewords that name lists."""
+        return self.first[lists // len(self.second)] + self.second[lists % len(self.second)]
+
+    def nearness(self, x: np.ndarray) -> np.ndarray:
+        """Half the squared distance to every list's centre, negated, but for a constant of each row.
+
+        One inner product for each codeword, not for each of their pairs.
+        """
+        one = x @ self.first.T - 0.5 * (self.first**2).sum(1)
+        two = x @ self.second.T - 0.5 * (self.second**2).sum(1)
+        both = self.first @ self.second.T
+        return (one[:, :, None] + (two[:, None, :] - both[None])).reshape(len(x), -1)
 
-        The list is the nearest first codeword; from there a beam keeps the
-        best partial sums over the residual codebooks.  The distance to the
-        next sum needs only inner products: of the vector with the codewords,
-        and of the codewords with each other.
+    def probes(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` nearest lists of each row, its own first."""
+        count = min(count, self.lists)
+        parts = []
+        for i in range(0, len(x), step := max(1, 8_000_000 // self.lists)):
+            near = self.nearness(x[i : i + step])
+            best = np.argpartition(-near, count - 1, axis=1)[:, :count]
+            parts.append(np.take_along_axis(best, np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable"), 1))
+        return np.concatenate(parts) if parts else np.zeros((0, count), dtype=np.int64)
+
+    def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(later codes, norm of the sum of all codewords) of rows that are stored in ``lists``.
+
+        A beam keeps the best partial sums over the later codebooks.  The
+        distance to the next sum needs only inner products: of the vector with
+        the codewords, and of the codewords with each other.
         """
         n, stages, k = len(x), *self.later.shape[:2]
-        lists = nearest(x, self.first)
         flat = self.later.reshape(stages * k, -1)
-        dots = (x @ flat.T).reshape(n, stages, k)
+        rest = x - self.centre(lists)
+        dots = (rest @ flat.T).reshape(n, stages, k)
         squares = (self.later**2).sum(2)
-        cross_first = (self.first @ flat.T).reshape(len(self.first), stages, k)
         codes = np.zeros((n, 1, 0), dtype=np.int64)
         cost = np.zeros((n, 1), dtype=np.float32)
-        overlap = cross_first[lists][:, None]  # (n, beam, stages, k): sum so far with every later codeword
+        overlap = np.zeros((n, 1, stages, k), dtype=np.float32)  # sum so far with every later codeword
         gram = (flat @ flat.T).reshape(stages, k, stages, k)
         for s in range(stages):
             step = cost[:, :, None] + squares[s] - 2 * dots[:, None, s] + 2 * overlap[:, :, s]
@@ -72,18 +99,9 @@ class Codebooks:
             codes = np.concatenate([codes[rows, parent], code[:, :, None]], axis=2)
             if s + 1 < stages:
                 overlap = overlap[rows, parent] + gram[s][code]
-        winner = cost.argmin(1)
-        codes = codes[np.arange(n), winner]
-        total = self.first[lists] + sum(self.later[s][codes[:, s]] for s in range(stages))
-        return lists, codes.astype(np.uint8 if k <= 256 else np.uint16), np.linalg.norm(total, axis=1).astype(np.float32)
-
-    def probes(self, x: np.ndarray, count: int) -> np.ndarray:
-        """The ``count`` nearest lists of each row, its own first."""
-        score = x @ self.first.T - 0.5 * (self.first**2).sum(1)
-        count = min(count, score.shape[1])
-        best = np.argpartition(-score, count - 1, axis=1)[:, :count]
-        order = np.argsort(-np.take_along_axis(score, best, 1), axis=1)
-        return np.take_along_axis(best, order, 1)
+        codes = codes[np.arange(n), cost.argmin(1)]
+        total = self.centre(lists) + sum(self.later[s][codes[:, s]] for s in range(stages))
+        return codes.astype(np.uint8), np.linalg.norm(total, axis=1).astype(np.float32)
 
 
 def nearest(x: np.ndarray, centres: np.ndarray, block: int = 4_096) -> np.ndarray:
@@ -91,31 +109,45 @@ def nearest(x: np.ndarray, centres: np.ndarray, block: int = 4_096) -> np.ndarra
     return np.concatenate([(x[i : i + block] @ centres.T - half).argmax(1) for i in range(0, len(x), block)]) if len(x) else np.zeros(0, dtype=np.int64)
 
 
-def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means; an empty cluster is given a point again."""
-    rng = np.random.default_rng(seed)
+def _averages(x: np.ndarray, of: np.ndarray, centres: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Means of the rows of each codeword; one without rows is given a row."""
+    order = np.argsort(of, kind="stable")
+    filled, begin = np.unique(of[order], return_index=True)
+    out = centres.copy()
+    out[filled] = np.add.reduceat(x[order], begin, axis=0) / np.diff(np.append(begin, len(x)))[:, None]
+    empty = np.setdiff1d(np.arange(len(centres)), filled)
+    out[empty] = x[rng.choice(len(x), len(empty))]
+    return out.astype(np.float32)
+
+
+def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means."""
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(ROUNDS):
-        of = nearest(x, centres)
-        order = np.argsort(of, kind="stable")
-        filled, begin = np.unique(of[order], return_index=True)
-        sums = np.add.reduceat(x[order], begin, axis=0)
-        centres[filled] = sums / np.diff(np.append(begin, len(x)))[:, None]
-        empty = np.setdiff1d(np.arange(k), filled)
-        centres[empty] = x[rng.choice(len(x), len(empty))]
+        centres = _averages(x, nearest(x, centres), centres, rng)
     return centres.astype(np.float32)
 
 
-def fit(sample: np.ndarray, lists: int, seed: int = 7) -> Codebooks:
-    """Codebooks from a sample of unit vectors; each later one on the residuals of those before."""
-    first = _means(sample, lists, seed)
-    rest = sample - first[nearest(sample, first)]
+def fit(sample: np.ndarray, each: int, seed: int = 7) -> Codebooks:
+    """Codebooks from a sample of unit vectors: two of ``each`` codewords, fitted together, then those of residuals."""
+    rng = np.random.default_rng(seed)
+    first = _means(sample, each, rng)
+    second = _means(sample - first[nearest(sample, first)], each, rng)
+    book = Codebooks(first, second, np.zeros((0, CODEWORDS, sample.shape[1]), dtype=np.float32))
+    for _ in range(ROUNDS):
+        # Each is the mean of what the other leaves, under the nearest of all pairs.
+        own = book.probes(sample, 1)[:, 0]
+        a, b = own // each, own % each
+        book.first = _averages(sample - book.second[b], a, book.first, rng)
+        book.second = _averages(sample - book.first[a], b, book.second, rng)
+    rest = sample - book.centre(book.probes(sample, 1)[:, 0])
     later = []
-    for s in range(STAGES):
-        book = _means(rest[: 64 * CODEWORDS], CODEWORDS, seed + 1 + s)
-        rest = rest - book[nearest(rest, book)]
-        later.append(book)
-    return Codebooks(first, np.stack(later))
+    for _ in range(STAGES):
+        words = _means(rest, CODEWORDS, rng)
+        rest = rest - words[nearest(rest, words)]
+        later.append(words)
+    book.later = np.stack(later)
+    return book
 
 
 def usable(batch: pa.RecordBatch, column: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,32 +230,46 @@ def _classes(rows: DataFrame, count: int, *vec: str) -> DataFrame:
     return heads.groupBy("d1", "d2").agg(F.array_sort(F.collect_set("id")).alias("ids"), *[F.min_by(v, "id").alias(v) for v in vec])
 
 
-def index_lists(n: int) -> int:
-    """First codewords for n vectors: about three times the root, a power of two, so that lists grow as the root too."""
-    return int(min(MOST_LISTS, max(4, 2 ** round(np.log2(max(1.0, 3 * n**0.5))))))
+def codewords(n: int) -> int:
+    """Size of each of the two codebooks that name lists, for n directions: lists are about the root of n, and grow as it does."""
+    return int(max(2, 2 ** round(np.log2(max(1.0, n**0.5)) / 2)))
+
+
+@dataclass
+class Index:
+    """Codebooks, how many lists a query visits, and in how many parts the items and the queries of each row of lists are cut."""
+
+    book: Codebooks
+    visited: int
+    sections: np.ndarray
+    blocks: np.ndarray
 
 
-def train(rows: DataFrame, n: int, dim: int) -> tuple[Codebooks, dict[int, int]]:
-    """Codebooks from a bounded sample, and in how many sections the larger lists are to be cut."""
-    lists = index_lists(n)
-    share = min(1.0, min(SAMPLE, 24 * lists) / max(1, n))
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("id", "vec").distinct().toArrow()
-    sample = _unfine(_matrix(picked["vec"], np.uint8, 3 * dim), dim)[np.argsort(np.asarray(picked["id"].to_pandas()), kind="stable")]
+def train(classes: DataFrame, n: int, dim: int, wide: float | None = None) -> Index:
+    """An index for n directions, from a bounded sample; ``wide`` is a share of all lists to be visited."""
+    each = codewords(n)
+    share = min(1.0, SAMPLE / max(1, n))
+    picked = classes.where(F.pmod(F.xxhash64("d1"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("d1", "d2", "vec").toArrow()
+    sample = _unfine(_matrix(picked["vec"], np.uint8, 3 * dim), dim)[np.lexsort((np.asarray(picked["d2"]), np.asarray(picked["d1"])))]
     if not len(sample):
         sample = np.eye(1, dim, dtype=np.float32)
-    book = fit(sample, min(lists, len(sample)))
-    expected = np.bincount(nearest(sample, book.first), minlength=len(book.first)) * (n / len(sample))
-    return book, {a: int(-(-c // SEGMENT)) for a, c in enumerate(expected) if c > SEGMENT}
+    book = fit(sample, min(each, len(sample)))
+    visited = min(book.lists, max(CLOSE_LEAST, round(wide * book.lists if wide else CLOSE * book.lists**0.5)))
+    scale = n / len(sample)
+    stored = np.bincount(book.probes(sample, 1)[:, 0] // len(book.second), minlength=len(book.first)) * scale
+    asking = np.bincount(np.concatenate([np.unique(p) for p in book.probes(sample, visited) // len(book.second)]), minlength=len(book.first)) * scale
+    return Index(book, visited, np.maximum(1, np.ceil(stored / SEGMENT)).astype(np.int64), np.maximum(1, np.ceil(asking / QUERIES)).astype(np.int64))
 
 
-def neighbours(vectors: DataFrame, key: str, dense: str, k: int = 5, probes: int = 5, dim: int = DIM, least: float | None = None, one_in: int = 1) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str, dense: str, k: int = 5, dim: int = DIM, least: float | None = None, wide: float | None = None, one_in: int = 1) -> DataFrame:
     """(id, neighbour, cosine, place): the ``k`` most similar other vectors of every usable one.
 
     Similar is by direction, whatever the length.  Ties are ordered by id.
-    ``least`` drops neighbours of a lower cosine; ``one_in`` takes as queries
-    only the ids whose hash is divisible by it (all rows are searched).
-    Vectors that are null, of another length than ``dim``, all zero or not
-    finite take no part; repeated rows count once; a lone vector has no
+    ``least`` drops neighbours of a lower cosine; ``wide`` visits that share of
+    the lists instead of the few where close neighbours lie; ``one_in`` takes
+    as queries only the ids whose hash is divisible by it (all rows are
+    searched).  Vectors that are null, of another length than ``dim``, all zero
+    or not finite take no part; repeated rows count once; a lone vector has no
     neighbour.
 
     Copies of a direction are one item of the index, with their k + 1 smallest
@@ -231,12 +277,12 @@ def neighbours(vectors: DataFrame, key: str, dense: str, k: int = 5, probes: int
     holds a third of all rows costs no more than another.
     """
     spark = vectors.sparkSession
-    rows = directions(vectors, key, dense, dim)
-    n = vectors.where(F.col(dense).isNotNull()).count()
-    trained, sections = train(rows, n, dim)
-    books, split = spark.sparkContext.broadcast(trained), spark.sparkContext.broadcast(sections)
+    rows = written(directions(vectors, key, dense, dim))
+    classes = written(_classes(rows, k + 1, "vec"))
+    n = classes.count()
+    index = spark.sparkContext.broadcast(train(classes, n, dim, wide))
     is_query = lambda c: F.pmod(F.xxhash64(c), F.lit(one_in)) == 0
-    classes = _classes(rows, k + 1, "vec").select(
+    items = classes.select(
         "d1", "d2", "vec",
         # A class of more than k copies has its neighbours in itself.
         ((F.size("ids") <= k) & F.exists("ids", is_query)).alias("asks"),
@@ -244,45 +290,51 @@ def neighbours(vectors: DataFrame, key: str, dense: str, k: int = 5, probes: int
     )
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = books.value
-        cuts = np.ones(len(book.first), dtype=np.int64)
-        for a, c in split.value.items():
-            cuts[a] = c
+        book, sections, blocks = index.value.book, index.value.sections, index.value.blocks
+        width = len(book.second)
         for batch in batches:
             fine = _matrix(batch.column(2), np.uint8, 3 * dim)
             if not len(fine):
                 continue
             x = _unfine(fine, dim)
-            asks, part = (np.asarray(batch.column(i)) for i in (3, 4))
-            near = book.probes(x, probes)
-            own = near[:, 0]
-            home = part % cuts[own]
-            # The item goes to its list and asks there; to other lists and sections it is sent as a query.
-            where, section, row = [own], [home], [np.arange(len(x))]
-            for j in range(near.shape[1]):
-                a = near[:, j]
-                for s in range(int(cuts[a].max())):
-                    reach = np.nonzero(asks & (cuts[a] > s) & ~((a == own) & (home == s)))[0]
-                    where.append(a[reach])
-                    section.append(np.full(len(reach), s))
-                    row.append(reach)
-            r = np.concatenate(row)
-            item = np.arange(len(r)) < len(x)
+            asking, part = np.nonzero(np.asarray(batch.column(3)))[0], np.asarray(batch.column(4))
+            own = book.probes(x, 1)[:, 0]
+            codes, norms = book.encode(x, own)
+            a = own // width
+            # An item is stored with its codes in its section of its row of lists, for every block of queries.
+            place, row = [], []
+            for t in range(int(blocks[a].max())):
+                reach = np.nonzero(blocks[a] > t)[0]
+                place.append(a[reach] << 40 | (part[reach] % sections[a[reach]]) << 20 | t)
+                row.append(reach)
+            stored = np.concatenate(row)
+            # A query is sent once to each section of a row of lists, with the lists it visits there.
+            seen = np.zeros((len(asking), book.lists), dtype=bool)
+            seen[np.arange(len(asking))[:, None], book.probes(x[asking], index.value.visited)] = True
+            seen = seen.reshape(len(asking), len(book.first), width)
+            masks = [np.zeros((0, -(-width // 8)), dtype=np.uint8)]
+            for s in range(int(sections.max())):
+                r, b = np.nonzero(seen.any(2) & (sections > s)[None])
+                place.append(b << 40 | s << 20 | part[asking[r]] // 7 % blocks[b])
+                row.append(asking[r])
+                masks.append(np.packbits(seen[r, b], axis=1))
+            r, m = np.concatenate(row), len(stored)
+            mask = pa.concat_arrays([pa.nulls(m, pa.binary()), _binary(np.concatenate(masks))])
+            code = pa.concat_arrays([_binary(np.concatenate([(own[stored] % width).astype("<u2").view(np.uint8).reshape(-1, 2), codes[stored]], axis=1)), pa.nulls(len(r) - m, pa.binary())])
+            norm = pa.array(np.concatenate([norms[stored], np.zeros(len(r) - m, dtype=np.float32)]), mask=np.arange(len(r)) >= m)
             d1, d2 = batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r))
-            place = np.concatenate(where) << 16 | np.concatenate(section)
-            flags = item.astype(np.int8) + 2 * asks[r].astype(np.int8)
-            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(flags), d1, d2, _binary(fine[r])], ["place", "flags", "d1", "d2", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(place)), d1, d2, _binary(fine[r]), code, norm, mask], ["place", "d1", "d2", "vec", "codes", "norm", "mask"])
 
-    sent = classes.mapInArrow(assign, "place long, flags byte, d1 long, d2 long, vec binary")
+    sent = items.mapInArrow(assign, "place long, d1 long, d2 long, vec binary, codes binary, norm float, mask binary")
 
     def search(table: pa.Table) -> pa.Table:
-        return _search(table, books.value, k, dim, least)
+        return _search(table, index.value.book, k, dim, least, RERANKED_WIDE if wide else 0.0)
 
     close = sent.groupBy("place").applyInArrow(search, "d1 long, d2 long, o1 long, o2 long, cosine double")
     best = Window.partitionBy("d1", "d2").orderBy(F.desc("cosine"), "o1", "o2")
-    # At most (k + 1) candidates from each list visited.
+    # At most (k + 1) candidates from each section of a row of lists visited.
     near = close.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k).drop("_at")
-    names = _classes(rows, k + 1)
+    names = classes.select("d1", "d2", "ids")
     others = near.join(names.select(F.col("d1").alias("o1"), F.col("d2").alias("o2"), F.col("ids").alias("_others")), ["o1", "o2"])
     named = others.join(names, ["d1", "d2"])
     apart = named.select(F.explode("ids").alias("id"), "cosine", "_others").select("id", F.explode("_others").alias("neighbour"), "cosine")
@@ -294,51 +346,57 @@ def neighbours(vectors: DataFrame, key: str, dense: str, k: int = 5, probes: int
     return ranked.where(F.col("place") <= k)
 
 
-def similar_pairs(vectors: DataFrame, key: str, dense: str, least: float, k: int = 5, probes: int = 5, dim: int = DIM) -> DataFrame:
+def similar_pairs(vectors: DataFrame, key: str, dense: str, least: float, k: int = 5, dim: int = DIM) -> DataFrame:
     """(chunk_a, chunk_b): pairs of a cosine of at least ``least``, one among the ``k`` most similar of the other; each once."""
-    found = neighbours(vectors, key, dense, k, probes, dim, least)
+    found = neighbours(vectors, key, dense, k, dim, least)
     return found.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
-def _search(table: pa.Table, book: Codebooks, k: int, dim: int, least: float | None) -> pa.Table:
-    """Best items for every query of one section of one list."""
+def _search(table: pa.Table, book: Codebooks, k: int, dim: int, least: float | None, share: float) -> pa.Table:
+    """Best items for every query of one section of a row of lists."""
     x = _unfine(_matrix(table["vec"], np.uint8, 3 * dim), dim)
-    flags = np.asarray(table["flags"])
-    item, asks = (flags & 1) > 0, (flags & 2) > 0
     d1, d2 = np.asarray(table["d1"]), np.asarray(table["d2"])
-    items, queries = np.nonzero(item)[0], np.nonzero(asks)[0]
+    stored = np.asarray(table["norm"].is_valid())
+    items, queries = np.nonzero(stored)[0], np.nonzero(~stored)[0]
     asked, answer, cosines = [], [], []
     if len(items) and len(queries):
-        y = x[items]
-        _, codes, norms = book.encode(y)
-        where = int(table["place"][0].as_py()) >> 16
-        stages, words = book.later.shape[:2]
+        row = int(table["place"][0].as_py()) >> 40
+        width, (stages, words) = len(book.second), book.later.shape[:2]
+        visits = np.unpackbits(_matrix(table["mask"].drop_null(), np.uint8, -(-width // 8)), axis=1, count=width).astype(bool)
+        codes = _matrix(table["codes"].drop_null(), np.uint8, 2 + stages)
+        column = np.ascontiguousarray(codes[:, :2]).view("<u2")[:, 0]
+        slots = codes[:, 2:].astype(np.int64) + np.arange(stages) * words
+        norms = np.asarray(table["norm"].drop_null())
         flat = book.later.reshape(stages * words, dim)
-        slots = codes.astype(np.int64) + np.arange(stages) * words
-        take = min(RERANKED, len(items))
-        block = max(1, min(1_024, 4_000_000 // len(items)))
-        for i in range(0, len(queries), block):
-            q = x[queries[i : i + block]]
-            # Lookup tables: inner products of the queries with all codewords.
-            lookup = flat @ q.T
-            scores = lookup[slots[:, 0]]
-            for s in range(1, stages):
-                scores += lookup[slots[:, s]]
-            scores += q @ book.first[where]
-            scores /= norms[:, None]
-            best = np.argpartition(-scores, take - 1, axis=0)[:take].T if take < len(items) else np.tile(np.arange(len(items)), (len(q), 1))
-            exact = np.einsum("qd,qrd->qr", q.astype(np.float64), y[best].astype(np.float64))
-            mine, other = queries[i : i + block], items[best]
-            keep = other != mine[:, None]
-            if least is not None:
-                keep &= exact >= least
-            exact = np.where(keep, exact, -2.0)
-            order = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
-            exact = np.take_along_axis(exact, order, 1)
-            r, c = np.nonzero(exact > -2.0)
-            asked.append(mine[r])
-            answer.append(np.take_along_axis(other, order, 1)[r, c])
-            cosines.append(exact[r, c])
+        for b in np.unique(column):
+            here, ask = np.nonzero(column == b)[0], queries[visits[:, b]]
+            take = min(len(here), max(RERANKED, int(share * len(here))))
+            y, centre = x[items[here]], book.centre(np.array([row * width + b]))[0]
+            block = max(1, min(1_024, 4_000_000 // len(here)))
+            for i in range(0, len(ask), block):
+                mine = ask[i : i + block]
+                q = x[mine]
+                # Lookup tables: inner products of the queries with all codewords.
+                lookup = flat @ q.T
+                scores = lookup[slots[here, 0]]
+                for s in range(1, stages):
+                    scores += lookup[slots[here, s]]
+                scores += q @ centre
+                scores /= norms[here][:, None]
+                best = np.argpartition(-scores, take - 1, axis=0)[:take].T if take < len(here) else np.tile(np.arange(len(here)), (len(q), 1))
+                exact = np.einsum("qd,qrd->qr", q.astype(np.float64), y[best].astype(np.float64))
+                other = items[here[best]]
+                keep = (d1[other] != d1[mine][:, None]) | (d2[other] != d2[mine][:, None])
+                if least is not None:
+                    keep &= exact >= least
+                r, c = np.nonzero(keep)
+                asked.append(mine[r])
+                answer.append(other[r, c])
+                cosines.append(exact[r, c])
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
-    q, o = join(asked, np.int64), join(answer, np.int64)
-    return pa.table([pa.array(d1[q]), pa.array(d2[q]), pa.array(d1[o]), pa.array(d2[o]), pa.array(join(cosines, np.float64))], ["d1", "d2", "o1", "o2", "cosine"])
+    q, o, v = join(asked, np.int64), join(answer, np.int64), join(cosines, np.float64)
+    order = np.lexsort((o, -v, q))
+    q, o, v = q[order], o[order], v[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) <= k
+    q, o, v = q[keep], o[keep], v[keep]
+    return pa.table([pa.array(d1[q]), pa.array(d2[q]), pa.array(d1[o]), pa.array(d2[o]), pa.array(v)], ["d1", "d2", "o1", "o2", "cosine"])

@@ -20,7 +20,7 @@ def test_similar_vectors_equal_brute_force(spark):
     rows = [(f"c{i:03d}", [float(v) for v in x[i]], i) for i in range(400)] + [("c000", [float(v) for v in x[0]], 7)]
     rows += [("n1", None, 0), ("n2", [0.0] * 8, 0), ("n3", [1.0], 0), ("n4", [float("nan")] * 8, 0), (None, [1.0] * 8, 0), ("n5", [], 0)]
     df = spark.createDataFrame(rows, "chunk_id string, dense array<float>, id int")
-    got = similar_vectors.similar_pairs(df, "chunk_id", "dense", 0.9, dim=8, probes=64)
+    got = similar_vectors.similar_pairs(df, "chunk_id", "dense", 0.9, dim=8)
     unit = x.astype(np.float64) / np.linalg.norm(x, axis=1)[:, None]
     s = unit @ unit.T
     np.fill_diagonal(s, -2)
