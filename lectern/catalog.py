@@ -68,12 +68,7 @@ def _less(x: str, pattern: str) -> str:
     return f"(length({x}) - length(regexp_replace({x}, '{pattern}', '', 'g')))"
 
 
-def _tokens(x: str) -> str:
-    """SQL for the list of tokens of an expression."""
-    segments = rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}_]+'), lambda g: g <> '')"
-    one = "list_transform(range(1, length(g) + 1), lambda i: substr(g, i, 1))"
-    two = "list_transform(range(1, length(g)), lambda i: substr(g, i, 2))"
-    return f"flatten(list_transform({segments}, lambda g: CASE WHEN regexp_matches(g, '{T.IDEOGRAPH}') THEN list_concat({one}, {two}) ELSE [g] END))"
+_tokens = T.tokens_sql
 
 
 # --- text functions -------------------------------------------------------------------------------

@@ -76,6 +76,14 @@ def tokens(c: Column, folded: bool = False) -> Column:
     return F.coalesce(F.flatten(F.transform(segments, spread)), F.array().cast("array<string>"))
 
 
+def tokens_sql(x: str) -> str:
+    """DuckDB's expression for the unfolded ``tokens`` of an expression."""
+    segments = rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}_]+'), lambda g: g <> '')"
+    one = "list_transform(range(1, length(g) + 1), lambda i: substr(g, i, 1))"
+    two = "list_transform(range(1, length(g)), lambda i: substr(g, i, 2))"
+    return f"flatten(list_transform({segments}, lambda g: CASE WHEN regexp_matches(g, '{IDEOGRAPH}') THEN list_concat({one}, {two}) ELSE [g] END))"
+
+
 def analyze(c: Column, folded: bool = False) -> Column:
     """Tokens joined by spaces, as an index stores them."""
     return F.array_join(tokens(c, folded), " ")
