@@ -88,9 +88,19 @@ def fuse(hits: DataFrame, results: DataFrame, weights: dict[str, float] | None =
 
 
 def top_by_all(hits: DataFrame, results: DataFrame, kinds: tuple[str, ...] = SIGNALS[1:], top: int = 3, least: int = 6) -> DataFrame:
-    """(query_id, chunk_id) of hits among the ``top`` by each of ``kinds``, in requests of at least ``least`` hits."""
+    """(query_id, chunk_id) of hits among the ``top`` by each of ``kinds``, in requests of at least ``least`` hits.
+
+    Such a hit has a mean deviate at least as high as the mean of the lowest
+    deviates of the leading hits by each kind.  The fused score cuts the hits
+    of a request there; that a hit is among the leading by each kind is then
+    checked exactly.  A hit without one of the scores is not among them.
+    """
     wide = gather_scores(hits, results)
     ranked = percentiles(scored(wide.drop("contributions"), kinds))
-    leading = ranked.where(F.col("higher") < top).groupBy("query_id", "chunk_id").agg(F.count("*").alias("_n"))
+    leads = F.col("higher") < top
+    fused = ranked.groupBy("query_id", "chunk_id").agg(F.avg("deviate").alias("fused"), F.sum(leads.cast("int")).alias("_leads"))
+    bars = ranked.where(leads).groupBy("query_id", "kind").agg(F.min("deviate").alias("_bar"))
+    bars = bars.groupBy("query_id").agg(F.avg("_bar").alias("_bar"), F.count("*").alias("_kinds")).where(F.col("_kinds") == len(kinds))
     sizes = wide.groupBy("query_id").agg(F.count("*").alias("_hits")).where(F.col("_hits") >= least)
-    return leading.where(F.col("_n") == len(kinds)).join(sizes, "query_id").select("query_id", "chunk_id")
+    found = fused.join(bars.join(sizes, "query_id"), "query_id").where(F.col("fused") >= F.col("_bar") - 1e-9)
+    return found.where(F.col("_leads") == len(kinds)).select("query_id", "chunk_id")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.same_look import LIMIT, code_points
+from lectern.session import bounded
 
 #: Buckets of the pair table: the bound of what is collected and broadcast, with the code points.
 BUCKETS = 1 << 21
@@ -36,10 +37,9 @@ LEAST = 3.0
 GAIN_EACH, GAIN = 1.0, 6.0
 #: Improbability of a run that counts as garbled though nothing undoes it.
 HOPELESS = 12.0
-#: Characters of a run by which its mapping is chosen; it is then undone in the whole text.
+#: Characters of a run that are tried at a time, from its start to its end, until a mapping explains them; it is then
+#: undone in the whole text.
 VOTING = 96
-#: Different mappings undone one after the other in one text.
-ROUNDS = 8
 _BAD = "�"
 
 # Single-byte and multi-byte encodings that text is mistaken for, and those it was written in.
@@ -98,25 +98,54 @@ def _plain(points: np.ndarray) -> np.ndarray:
     return np.minimum(out, LIMIT - 1)
 
 
+def weighed(documents: DataFrame, text: str) -> DataFrame:
+    """``text`` with ``weight``: one over the number of rows that hold the same text, so that each text counts once.
+
+    Only hashes are counted; texts that repeat are looked up by them.
+    """
+    two = [F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(17), text).alias("_h2")]
+    hashed = documents.where(F.length(text) > 0).select(text, *two)
+    repeated = bounded(hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where("_n > 1"))
+    return hashed.join(repeated, ["_h1", "_h2"], "left").select(text, (1.0 / F.coalesce("_n", F.lit(1))).alias("weight"))
+
+
 def count_pairs(documents: DataFrame, text: str) -> DataFrame:
-    """(slot, n): slots below BUCKETS are pairs, those from there on single characters; over all rows."""
+    """(slot, n): slots below BUCKETS are pairs, those from there on single characters; over all distinct texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS + LIMIT, dtype=np.int64)
+        total = np.zeros(BUCKETS + LIMIT, dtype=np.float64)
         for batch in batches:
             points, offsets = code_points(batch.column(0))
             if not len(points):
                 continue
             points = _plain(points)
-            total[BUCKETS:] += np.bincount(points, minlength=LIMIT)
+            weight = np.repeat(np.asarray(batch.column(1)), np.diff(offsets))
+            total[BUCKETS:] += np.bincount(points, weight, minlength=LIMIT)
             inner = np.ones(len(points) - 1, dtype=bool)
             cuts = offsets[(offsets > 0) & (offsets < len(points))]
             inner[cuts - 1] = False
-            total[:BUCKETS] += np.bincount(_hash(points[:-1], points[1:])[inner], minlength=BUCKETS)
+            total[:BUCKETS] += np.bincount(_hash(points[:-1], points[1:])[inner], weight[:-1][inner], minlength=BUCKETS)
         slots = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
 
-    return documents.select(text).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    return weighed(documents, text).mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+def worst(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The highest sum of improbability of any stretch of each row, for all rows of a batch at once."""
+    if not len(scores):
+        return np.zeros(len(offsets) - 1)
+    badness = -0.5 - scores.astype(np.float64)
+    # The pair that ends in the next row belongs to none.
+    ends = offsets[1:-1] - 1
+    badness[ends[(ends >= 0) & (ends < len(badness))]] = 0.0
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(badness)]
+    # Every row begins far below all that came before, so that the running minimum begins anew.
+    running = np.cumsum(badness) - row * (8.0 * (len(badness) + 1))
+    floor = np.minimum.accumulate(np.concatenate([[0.0], running[:-1]]) - (np.diff(row, prepend=0) > 0) * (8.0 * (len(badness) + 1)))
+    out = np.zeros(len(offsets) - 1)
+    np.maximum.at(out, row, running - floor)
+    return out
 
 
 class PairModel:
@@ -247,7 +276,7 @@ class Repairer:
                 return None
             new = raw.decode(meant, "replace")
             lost = new.count(_BAD)
-            if lost * 8 > len(new) or len(new) < 20:
+            if lost * 8 > len(new):
                 return None
         if not new or new == run:
             return None
@@ -293,8 +322,8 @@ class Repairer:
 
     def repair(self, text: str, scores: np.ndarray | None = None) -> tuple[bool, str]:
         """(whether a stretch is garbled, the text with what could be undone)."""
-        garbled, hopeless = _BAD in text, set()
-        for _ in range(ROUNDS):
+        garbled, hopeless, met = _BAD in text, set(), {text}
+        while True:
             runs = sorted(self._joined(text, self.runs(text, scores)), key=lambda r: -r[2])
             scores, mapping = None, None
             for a, b, bad in runs:
@@ -309,9 +338,10 @@ class Repairer:
                 break
             # One mapping is undone wherever it applies, in the whole text.
             undone = self._undo(text, *mapping)
-            if undone == text:
+            if undone in met:
                 break
             garbled, text = True, undone
+            met.add(text)
         return garbled, text
 
     def _joined(self, text: str, runs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -334,12 +364,12 @@ class Repairer:
                 yield low, high
 
     def _mapping(self, text: str, a: int, b: int) -> tuple[str, str] | None:
-        """The mapping that explains a run; a part of a long one is enough to tell."""
-        b = min(b, a + VOTING)
-        for low, high in self._ends(text, a, b):
-            got = self._try(text[low:high], text[max(0, low - 2) : low], text[high : high + 2])
-            if got:
-                return got[2]
+        """The mapping that explains a run; the first part of a long one that can tell decides."""
+        for start in range(a, b, VOTING):
+            for low, high in self._ends(text, start, min(b, start + VOTING)):
+                got = self._try(text[low:high], text[max(0, low - 2) : low], text[high : high + 2])
+                if got:
+                    return got[2]
         return None
 
     def _undo(self, text: str, wrong: str, meant: str) -> str:
@@ -378,8 +408,9 @@ class Repairer:
 def repair_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, garbled, restored): ``restored`` is the text with all damage undone that can be.
 
-    The pair statistics are over all rows of ``documents``; what reaches the
-    driver is at most BUCKETS + 0x110000 counts, whatever the corpus.  Null
+    The pair statistics are over all distinct texts of ``documents``, so that
+    no text becomes probable by being copied; what reaches the driver is at
+    most BUCKETS + 0x110000 counts, whatever the corpus.  Null
     and empty texts aren't garbled and stay as they are.
     """
     counted = count_pairs(documents, text).toArrow()
@@ -393,11 +424,11 @@ def repair_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
             flags, out = [], []
             points, offsets = code_points(batch.column(1))
             scores = repairer.model.scores(points) if len(points) > 1 else np.zeros(0)
-            # A text without one improbable pair has no segment to look into.
-            low = np.concatenate([[0], np.cumsum(scores < -0.5)])
+            # A text without an improbable segment has none to look into.
+            doubtful = worst(scores, offsets) >= LEAST
             for i, t in enumerate(batch.column(1).to_pylist()):
                 a, b = offsets[i], max(offsets[i], offsets[i + 1] - 1)
-                bad, new = repairer.repair(t, scores[a:b]) if t and low[b] > low[a] else (False, t)
+                bad, new = repairer.repair(t, scores[a:b]) if t and doubtful[i] else (False, t)
                 flags.append(bad)
                 out.append(new)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags), pa.array(out, pa.string())], [key, text, "garbled", "restored"])

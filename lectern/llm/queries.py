@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.probit import probit_sql
+from lectern.functions.text import tokens, tokens_sql
 from lectern.llm import byte_bpe, distinctive_terms, fill_containers, fuse_scores, garbled, same_look, scan_repair, similar_vectors, split_oversized
 from lectern.sources.tables import load
 
@@ -63,19 +64,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return cut.where("piece_no = 0").select(F.col("id").alias("block_id")).distinct()
 
 
-def _weights(spark: SparkSession, folder: str) -> DataFrame:
-    blocks = load(spark, folder, "blocks").where("kind = 'text'")
-    return distinctive_terms.log_entropy(blocks, "document_id", "text", ["id"])
-
-
 def p6_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return _weights(spark, folder).withColumn("score", F.round("score", 6))
+    """All terms of the blocks of every kind, as an index would take them: words, and characters and pairs of Chinese."""
+    weights = distinctive_terms.log_entropy(load(spark, folder, "blocks"), "document_id", "text", ["id"], tokens)
+    return weights.drop("records").withColumn("score", F.round("score", 6))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    # Every score is at least 0.  Asking for it keeps the counts in both uses of
-    # the first aggregation, so that they share one exchange.
-    return _weights(spark, folder).where("tf >= 5 AND df <= 3 AND score >= 0").select("document_id", "term")
+    blocks = load(spark, folder, "blocks").where("kind = 'text'")
+    weights = distinctive_terms.log_entropy(blocks, "document_id", "text", ["id"])
+    return distinctive_terms.marks(weights, 5, 3).select("document_id", "term")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,9 +138,13 @@ WITH h AS (SELECT DISTINCT query_id, chunk_id, score, dense_score, sparse_score
                   / count(*) OVER (PARTITION BY query_id, kind) AS p FROM v)
 """
 
-_TERMS = """
-WITH b AS (SELECT DISTINCT id, document_id, text FROM blocks WHERE kind = 'text'),
-     t AS (SELECT document_id, unnest(regexp_extract_all(lower(text), '[a-z\\x{00DF}-\\x{00F6}\\x{00F8}-\\x{024F}]{5,}')) AS term FROM b),
+_TERM = "regexp_extract_all(lower(text), '[a-z\\x{00DF}-\\x{00F6}\\x{00F8}-\\x{024F}]{5,}')"
+
+
+def _terms(blocks: str, split: str) -> str:
+    return f"""
+WITH b AS (SELECT DISTINCT id, document_id, text FROM {blocks}),
+     t AS (SELECT document_id, unnest({split}) AS term FROM b WHERE text IS NOT NULL),
      l AS (SELECT document_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
      s AS (SELECT term, sum(tf) AS gf, count(*) AS df, sum(tf * ln(tf)) AS x FROM l GROUP BY 1),
      n AS (SELECT count(DISTINCT document_id) AS n FROM b)
@@ -160,8 +162,8 @@ ORACLE: dict[str, str] = {
         FROM w LEFT JOIN f USING (query_id, chunk_id)""",
     "p5_found": "SELECT DISTINCT id AS block_id FROM blocks WHERE length(text) > 2000",
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
-    "p6_found": _TERMS + "SELECT document_id, term FROM l JOIN s USING (term) WHERE tf >= 5 AND df <= 3",
-    "p6_weights": _TERMS
+    "p6_found": _terms("blocks WHERE kind = 'text'", _TERM) + "SELECT document_id, term FROM l JOIN s USING (term) WHERE tf >= 5 AND df <= 3",
+    "p6_weights": _terms("blocks", tokens_sql("text"))
     + """SELECT document_id, term, tf::BIGINT AS tf, df::BIGINT AS df,
          round(ln(1 + tf) * greatest(0, CASE WHEN n > 1 THEN 1 - (ln(gf) - x / gf) / ln(n) ELSE 1 END), 6) AS score
          FROM l JOIN s USING (term), n""",
