@@ -14,6 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,10 +142,10 @@ def worst(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     badness[ends[(ends >= 0) & (ends < len(badness))]] = 0.0
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(badness)]
     # Every row begins far below all that came before, so that the running minimum begins anew.
-    running = np.cumsum(badness) - row * (8.0 * (len(badness) + 1))
-    floor = np.minimum.accumulate(np.concatenate([[0.0], running[:-1]]) - (np.diff(row, prepend=0) > 0) * (8.0 * (len(badness) + 1)))
+    sums = np.cumsum(badness) - row * (8.0 * (len(badness) + 1))
+    floor = np.minimum.accumulate(sums - badness)
     out = np.zeros(len(offsets) - 1)
-    np.maximum.at(out, row, running - floor)
+    np.maximum.at(out, row, sums - floor)
     return out
 
 
@@ -278,7 +279,8 @@ class Repairer:
             lost = new.count(_BAD)
             if lost * 8 > len(new):
                 return None
-        if not new or new == run:
+        # Leaving out what was lost is no reading.
+        if not new or new in (run, run.replace(_BAD, "")):
             return None
         letters = frozenset(new)
         if len(letters - self.seen_characters) * 5 > len(letters) or not _CONTROLS.isdisjoint(letters):
@@ -325,20 +327,19 @@ class Repairer:
         garbled, hopeless, met = _BAD in text, set(), {text}
         while True:
             runs = sorted(self._joined(text, self.runs(text, scores)), key=lambda r: -r[2])
-            scores, mapping = None, None
+            scores, undone = None, None
             for a, b, bad in runs:
                 if text[a:b] in hopeless:
                     continue
                 mapping = self._mapping(text, a, b)
-                if mapping:
+                # One mapping is undone wherever it applies, in the whole text.
+                undone = self._undo(text, *mapping) if mapping else text
+                if undone not in met:
                     break
+                undone = None
                 hopeless.add(text[a:b])
                 garbled = garbled or bad >= HOPELESS
-            if not mapping:
-                break
-            # One mapping is undone wherever it applies, in the whole text.
-            undone = self._undo(text, *mapping)
-            if undone in met:
+            if undone is None:
                 break
             garbled, text = True, undone
             met.add(text)
@@ -376,8 +377,10 @@ class Repairer:
         if meant == "utf-8" and wrong not in _WIDE:
             return self._undo_utf8(text, wrong)
         parts, done = [], 0
-        for a, b, _ in self._joined(text, self.runs(text, least=0.5)):
-            for low, high in self._ends(text, a, b):
+        runs = self.runs(text, least=0.5)
+        for a, b, _ in self._joined(text, runs):
+            # What can't be read as one is read run by run.
+            for low, high in chain(self._ends(text, a, b), *(self._ends(text, x, y) for x, y, _ in runs if a <= x and y <= b)):
                 if low < done:
                     continue
                 clean = text[low:high].replace(_BAD, "")
@@ -387,7 +390,8 @@ class Repairer:
                 if got and got[1] > 0:
                     parts += [text[done:low], got[2]]
                     done = high
-                    break
+                    if (low, high) == (a, b) or high >= b:
+                        break
         return "".join(parts) + text[done:]
 
     def _undo_utf8(self, text: str, wrong: str) -> str:
