@@ -14,7 +14,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,8 @@ WRITTEN_IN = ("utf-8", "gb18030", "cp950", "big5hkscs", "cp932", "euc_jp", "euc_
 # A no-break space among the bytes may have become a plain one since.
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef](?:[\x80-\xbf]{2}|[\x80-\xbf] | [\x80-\xbf])|[\xf0-\xf4][\x80-\xbf]{3}|\xc3 ")
 _LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_15")
+_CYRILLIC = ("cp1251", "koi8_r", "cp866")
+_BESIDE_LATIN = re.compile("[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]")
 _U64 = (1 << 64) - 1
 _CONTROLS = frozenset(map(chr, range(0x80, 0xA0))) - {"\x85"}
 _WIDE = ("gb18030", "cp950", "big5hkscs", "cp932", "euc_jp", "euc_kr")
@@ -266,57 +268,88 @@ class Repairer:
             last = c
         return total, n
 
-    def _read(self, run: str, raw: bytes, wrong: str, meant: str, left: str, right: str, before: tuple[float, int]) -> tuple[float, float, str] | None:
-        """(rank, gain, new text) if reading the bytes of the run in another way makes it more probable."""
+    def _scores(self, texts: list[str]) -> list[tuple[float, int]]:
+        """`_score` of several texts; long ones are scored as one array."""
+        if sum(map(len, texts)) < 400:
+            return [self._score(t) for t in texts]
+        points = _points("".join(texts))
+        ends = np.cumsum([len(t) for t in texts])
+        wide = points > 127
+        counts = wide[:-1] | wide[1:]
+        counts[ends[:-1] - 1] = False
+        values = np.where(counts, self.model.scores(points), 0.0)
+        sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+        numbers = np.concatenate([[0], np.cumsum(counts)])
+        begins = np.concatenate([[0], ends[:-1]])
+        return list(zip((sums[ends - 1] - sums[begins]).tolist(), (numbers[ends - 1] - numbers[begins]).tolist()))
+
+    def _reading(self, run: str, clean: str, raw: bytes, wrong: str, meant: str) -> tuple[str, int] | None:
+        """(the bytes of the run read as they were meant, lost characters), if that can be a text."""
         lost = 0
         try:
             new = raw.decode(meant)
         except UnicodeDecodeError:
             # Only where one character is several bytes on either side can a part be missing.
-            if not (_BAD in run or wrong in _WIDE or meant in _WIDE):
+            if not (clean is not run or wrong in _WIDE or meant in _WIDE):
                 return None
             new = raw.decode(meant, "replace")
             lost = new.count(_BAD)
             if lost * 8 > len(new):
                 return None
         # Leaving out what was lost is no reading.
-        if not new or new in (run, run.replace(_BAD, "")):
+        if not new or new == run or new == clean:
             return None
         letters = frozenset(new)
         if len(letters - self.seen_characters) * 5 > len(letters) or not _CONTROLS.isdisjoint(letters):
             return None
+        return new, lost
+
+    def _gain(self, run: str, raw: bytes, wrong: str, meant: str, new: str, lost: int, scored: tuple[float, int], before: tuple[float, int]) -> tuple[float, float, str] | None:
+        """(rank, gain, new text) if a reading makes the run more probable."""
         old, old_n = before
-        value, n = self._score(left + new + right)
+        value, n = scored
         # What was lost in reading can't count against the mapping as garbling would.
         value += 6.0 * lost
         each = value / n if n else 1.5
         gain = value - old * min(1.0, max(1, n) / max(1, old_n))
         # Signs between Latin letters that happen to be well-formed UTF-8 are proof by
         # themselves, even if what comes out is still garbled from an earlier time.
-        signs = wrong in _LATIN or any(c > "\x7f" and not ("А" <= c <= "я" or c in "Ёё") for c in run)
-        sure = meant == "utf-8" and signs and wrong not in _WIDE and not lost and len(raw) > len(new)
+        sure = meant == "utf-8" and wrong not in _WIDE and not lost and len(raw) > len(new)
+        sure = sure and (wrong in _LATIN or any(c > "\x7f" and not ("А" <= c <= "я" or c in "Ёё") for c in run))
         if not sure and (each < -0.3 or each - old / max(1, old_n) < GAIN_EACH):
             return None
         return each + (1.0 if sure else 0.0) - 4.0 * lost / len(new), gain + (GAIN if sure else 0.0), new
 
+    def _read(self, run: str, raw: bytes, wrong: str, meant: str, left: str, right: str, before: tuple[float, int]) -> tuple[float, float, str] | None:
+        """(rank, gain, new text) if reading the bytes of the run in another way makes it more probable."""
+        got = self._reading(run, run.replace(_BAD, "") if _BAD in run else run, raw, wrong, meant)
+        return self._gain(run, raw, wrong, meant, *got, self._score(left + got[0] + right), before) if got else None
+
     def _try(self, run: str, left: str, right: str) -> tuple[float, str, tuple[str, str]] | None:
         """The best inverse mapping of one run, if any is good enough."""
         key = (run, left, right)
         if key in self.verdicts:
             return self.verdicts[key]
-        best: tuple[float, str, tuple[str, str]] | None = None
-        clean = run.replace(_BAD, "")
-        letters, before, tried = set(clean), self._score(left + run + right), set()
+        clean = run.replace(_BAD, "") if _BAD in run else run
+        letters, tried, found = set(clean), set(), []
+        # Beside Latin letters Cyrillic ones are as improbable as what is read.
+        meanings = [m for m in WRITTEN_IN if m not in _CYRILLIC] if _BESIDE_LATIN.search(left + run + right) else WRITTEN_IN
         for wrong in READ_AS:
             raw = _as_bytes(clean, letters, wrong)
             # Encodings that agree on the run's characters differ in nothing that follows.
             if raw is None or (raw, wrong in _WIDE) in tried:
                 continue
             tried.add((raw, wrong in _WIDE))
-            for meant in WRITTEN_IN:
-                got = self._read(run, raw, wrong, meant, left, right, before) if meant != wrong else None
-                if got and got[1] >= GAIN and (best is None or got[0] > best[0]):
-                    best = (got[0], got[2], (wrong, meant))
+            for meant in meanings:
+                got = self._reading(run, clean, raw, wrong, meant) if meant != wrong else None
+                if got:
+                    found.append((raw, wrong, meant, *got))
+        best: tuple[float, str, tuple[str, str]] | None = None
+        before, *values = self._scores([left + x + right for x in (run, *(f[3] for f in found))])
+        for (raw, wrong, meant, new, lost), scored in zip(found, values):
+            got = self._gain(run, raw, wrong, meant, new, lost, scored, before)
+            if got and got[1] >= GAIN and (best is None or got[0] > best[0]):
+                best = (got[0], got[2], (wrong, meant))
         if len(self.verdicts) > 100_000:
             self.verdicts.clear()
         self.verdicts[key] = best
@@ -367,7 +400,8 @@ class Repairer:
     def _mapping(self, text: str, a: int, b: int) -> tuple[str, str] | None:
         """The mapping that explains a run; the first part of a long one that can tell decides."""
         for start in range(a, b, VOTING):
-            for low, high in self._ends(text, start, min(b, start + VOTING)):
+            # Inside a run a part may be cut amid a character; all shifts matter at its start only.
+            for low, high in islice(self._ends(text, start, min(b, start + VOTING)), 6 if start == a else 2):
                 got = self._try(text[low:high], text[max(0, low - 2) : low], text[high : high + 2])
                 if got:
                     return got[2]
