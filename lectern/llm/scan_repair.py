@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import scan_words as words
@@ -143,7 +143,7 @@ def hash_key(key: str) -> int:
 
 _TABLE = (
     "id string, document_id string, section_id string, page int, char_start int, top double, hash long, copy long, body boolean, "
-    "lines array<struct<line:int,whole:boolean,number:int,key:long>>, words array<string>, ns array<long>, "
+    "lines array<struct<line:int,whole:boolean,number:int,key:long>>, words string, ns array<long>, "
     "cuts array<string>, tail string, mark string, head string, skip string, around array<string>"
 )
 _EDGE = re.compile(rf"({words.HALF})([-‐‑¬\xad])\s*$")
@@ -232,7 +232,8 @@ def read_blocks(blocks: DataFrame, longest: Longest) -> DataFrame:
     """What every block shows, in one pass over the texts; and the word counts of each task.
 
     Rows with ``ns`` are counts: in how many blocks of the task each of
-    ``words`` occurs.  The others are blocks: ``lines`` that may be furniture,
+    ``words`` occurs (they are joined by a separator, as one string is much
+    cheaper to pass on than an array).  The others are blocks: ``lines`` that may be furniture,
     distinct ``words`` (and pairs of confused CJK characters), ``cuts``, a half
     word at the end (``tail``, ``mark``), the first word (``head``; ``skip`` if
     it may be the second half of a word), CJK characters with neighbours
@@ -247,7 +248,7 @@ def read_blocks(blocks: DataFrame, longest: Longest) -> DataFrame:
         keys, ns = list(total.keys()), list(total.values())
         rows = range(0, len(keys), PER_ROW)
         if rows:
-            w, n = _lists([keys[i : i + PER_ROW] for i in rows], pa.string()), _lists([ns[i : i + PER_ROW] for i in rows], pa.int64())
+            w, n = pa.array(["\x1f".join(keys[i : i + PER_ROW]) for i in rows]), _lists([ns[i : i + PER_ROW] for i in rows], pa.int64())
             none = lambda t: pa.nulls(len(rows), t)
             lines = pa.list_(pa.struct([("line", pa.int32()), ("whole", pa.bool_()), ("number", pa.int32()), ("key", pa.int64())]))
             kinds = [*[pa.string()] * 3, pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), lines]
@@ -281,7 +282,7 @@ def read_blocks(blocks: DataFrame, longest: Longest) -> DataFrame:
                 own.discard("")
                 total.update(own)
                 lines.append(furniture)
-                found.append(list(own))
+                found.append("\x1f".join(own))
                 cuts.append([_join_cut(folded[a], m, "f" if flat else "", folded[b], *[folded[w] for w in c]) for a, m, b, flat, c in inner])
                 tails.append(folded[tail[0]] if tail else None)
                 marks.append(tail[1] if tail else None)
@@ -298,7 +299,7 @@ def read_blocks(blocks: DataFrame, longest: Longest) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:7], pa.array(draw.integers(1 << 62, size=len(kinds))), pa.array([x is not None and k != "table" for x, k in zip(shown, kinds)]),
-                    pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["line", "whole", "number", "key"])), _lists(found, pa.string()), pa.nulls(len(kinds), pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["line", "whole", "number", "key"])), pa.array(found, pa.string()), pa.nulls(len(kinds), pa.list_(pa.int64())),
                     _lists(cuts, pa.string()), *[pa.array(c, pa.string()) for c in (tails, marks, heads, skips)], _lists(arounds, pa.string()),
                 ],
                 names,
@@ -311,14 +312,19 @@ def read_blocks(blocks: DataFrame, longest: Longest) -> DataFrame:
     return source.mapInArrow(run, _TABLE)
 
 
+def split_words() -> Column:
+    """The column of words as an array."""
+    return F.split("words", "\x1f")
+
+
 def once(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of `read_blocks`, each delivered row once; in how many of them each word occurs)."""
     blocks = table.where("ns IS NULL")
     repeated = bounded(blocks.groupBy("id", "hash").agg(F.count("*").alias("_n"), F.min("copy").alias("_keep")).where("_n > 1 AND id IS NOT NULL").drop("_n"))
     marked = blocks.join(repeated, ["id", "hash"], "left")
     first = marked.where("_keep IS NULL OR _keep = copy").drop("_keep")
-    again = marked.where("_keep <> copy").select(F.explode("words").alias("word"), F.lit(-1).cast("long").alias("n"))
-    counted = table.where("ns IS NOT NULL").select(F.explode(F.arrays_zip("words", "ns")).alias("x")).select("x.words", "x.ns").toDF("word", "n")
+    again = marked.where("_keep <> copy").select(F.explode(split_words()).alias("word"), F.lit(-1).cast("long").alias("n"))
+    counted = table.where("ns IS NOT NULL").select(F.explode(F.arrays_zip(split_words().alias("word"), F.col("ns").alias("n"))).alias("x")).select("x.word", "x.n")
     return first, counted.unionByName(again).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
@@ -467,7 +473,7 @@ def misread(rows: DataFrame, more: DataFrame, less: DataFrame, fixes: DataFrame,
         broadcast = rows.sparkSession.sparkContext.broadcast(table)
     else:
         broadcast = None
-        hits = own.select("id", "skip", F.explode("words").alias("word")).where("NOT word <=> skip").join(corrected, "word").groupBy("id").agg(F.collect_list(F.struct("word", "fixes")).alias("found"))
+        hits = own.select("id", "skip", F.explode(split_words()).alias("word")).where("NOT word <=> skip").join(corrected, "word").groupBy("id").agg(F.collect_list(F.struct("word", "fixes")).alias("found"))
         own = own.drop("found").join(hits, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +482,7 @@ def misread(rows: DataFrame, more: DataFrame, less: DataFrame, fixes: DataFrame,
         for batch in batches:
             ids, out = batch.column(0), []
             if broadcast is not None:
-                lists = batch.column(1)
+                lists = pc.split_pattern(batch.column(1), "\x1f")
                 at = pc.index_in(lists.flatten(), value_set=keys)
                 hit = np.nonzero(np.asarray(at.is_valid()))[0]
                 parents = np.asarray(pc.list_parent_indices(lists))[hit]
@@ -487,7 +493,7 @@ def misread(rows: DataFrame, more: DataFrame, less: DataFrame, fixes: DataFrame,
                         out.append((ids[i].as_py(), w, words.choose(values[j].as_py(), present[i])))
             else:
                 for i, w, found in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
-                    out += [(i, f["word"], words.choose(f["fixes"], set(w))) for f in found]
+                    out += [(i, f["word"], words.choose(f["fixes"], set(w.split("\x1f")))) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.string()) for c in range(3)], ["id", "word", "fix"])
 
     inside = own.select("id", "words", "skip", "found").mapInArrow(run, "id string, word string, fix string")
