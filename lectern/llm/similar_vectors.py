@@ -30,6 +30,8 @@ STAGES, CODEWORDS, BEAM = 3, 256, 4
 SEGMENT, QUERIES = 131_072, 262_144
 #: Best scored items reranked exactly, per query and list: so many, or a share of the list where every neighbour counts.
 RERANKED, RERANKED_WIDE = 16, 0.25
+#: How far below the least cosine asked for a score from the tables may lie, to be reranked still.
+SLACK = 0.4
 ROUNDS = 6
 #: Lists visited for close neighbours as a multiple of the root of all lists (what it takes grows about so), and the share
 #: of lists visited where every neighbour counts: directions without a close neighbour have their nearest anywhere.
@@ -383,16 +385,21 @@ def _search(table: pa.Table, book: Codebooks, k: int, dim: int, least: float | N
                     scores += lookup[slots[here, s]]
                 scores += q @ centre
                 scores /= norms[here][:, None]
-                best = np.argpartition(-scores, take - 1, axis=0)[:take].T if take < len(here) else np.tile(np.arange(len(here)), (len(q), 1))
-                exact = np.einsum("qd,qrd->qr", q.astype(np.float64), y[best].astype(np.float64))
-                other = items[here[best]]
-                keep = (d1[other] != d1[mine][:, None]) | (d2[other] != d2[mine][:, None])
+                hopeful = scores >= (-2.0 if least is None else least - SLACK)
+                if hopeful.sum(axis=0).max(initial=0) > take:
+                    best = np.argpartition(-scores, take - 1, axis=0)[:take]
+                    c, r = np.nonzero(np.take_along_axis(hopeful, best, 0))
+                    c = best[c, r]
+                else:
+                    c, r = np.nonzero(hopeful)
+                exact = np.einsum("nd,nd->n", q[r].astype(np.float64), y[c].astype(np.float64))
+                mine, other = mine[r], items[here[c]]
+                keep = (d1[other] != d1[mine]) | (d2[other] != d2[mine])
                 if least is not None:
                     keep &= exact >= least
-                r, c = np.nonzero(keep)
-                asked.append(mine[r])
-                answer.append(other[r, c])
-                cosines.append(exact[r, c])
+                asked.append(mine[keep])
+                answer.append(other[keep])
+                cosines.append(exact[keep])
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
     q, o, v = join(asked, np.int64), join(answer, np.int64), join(cosines, np.float64)
     order = np.lexsort((o, -v, q))
