@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.probit import probit
 from lectern.operators.positions import cumulative
+from lectern.session import written
 
 SIGNALS = ("score", "dense_score", "sparse_score", "rerank_score")
 
@@ -47,18 +48,22 @@ def scored(wide: DataFrame, signals: tuple[str, ...] = SIGNALS) -> DataFrame:
     return long.where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("value", F.col("value") + F.lit(0.0))
 
 
-def percentiles(long: DataFrame) -> DataFrame:
-    """Add ``higher`` (strictly higher scores of the kind in the query), ``percentile`` and ``deviate``."""
+def places(long: DataFrame) -> DataFrame:
+    """(query_id, kind, value, higher, percentile, deviate): ``higher`` is the number of strictly higher scores of the kind in the query."""
     values = long.groupBy("query_id", "kind", "value").agg(F.count("*").alias("_n"))
     placed = cumulative(values, ["query_id", "kind"], ["value"], "_n")
     p = (F.col("below") + F.col("_n") / 2) / F.col("total")
-    placed = placed.select(
+    return placed.select(
         "query_id", "kind", "value",
         (F.col("total") - F.col("below") - F.col("_n")).alias("higher"),
         p.alias("percentile"),
         probit(p).alias("deviate"),
     )
-    return long.join(placed, ["query_id", "kind", "value"])
+
+
+def percentiles(long: DataFrame) -> DataFrame:
+    """The scores with their `places`."""
+    return long.join(places(long), ["query_id", "kind", "value"])
 
 
 def fuse(hits: DataFrame, results: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -96,10 +101,12 @@ def top_by_all(hits: DataFrame, results: DataFrame, kinds: tuple[str, ...] = SIG
     checked exactly.  A hit without one of the scores is not among them.
     """
     wide = gather_scores(hits, results)
-    ranked = percentiles(scored(wide.drop("contributions"), kinds))
+    long = scored(wide.drop("contributions"), kinds)
+    placed = written(places(long))
+    ranked = long.join(placed, ["query_id", "kind", "value"])
     leads = F.col("higher") < top
     fused = ranked.groupBy("query_id", "chunk_id").agg(F.avg("deviate").alias("fused"), F.sum(leads.cast("int")).alias("_leads"))
-    bars = ranked.where(leads).groupBy("query_id", "kind").agg(F.min("deviate").alias("_bar"))
+    bars = placed.where(leads).groupBy("query_id", "kind").agg(F.min("deviate").alias("_bar"))
     bars = bars.groupBy("query_id").agg(F.avg("_bar").alias("_bar"), F.count("*").alias("_kinds")).where(F.col("_kinds") == len(kinds))
     sizes = wide.groupBy("query_id").agg(F.count("*").alias("_hits")).where(F.col("_hits") >= least)
     found = fused.join(bars.join(sizes, "query_id"), "query_id").where(F.col("fused") >= F.col("_bar") - 1e-9)
