@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import identity, text as T
 from lectern.operators import align, dense, fusion, intervals, lexical, reuse, visibility
-from lectern.plans import library, search
-from lectern.session import cut
+from lectern.plans import library, reports, search
+from lectern.session import bounded, cut
 from lectern.sources import parse, store
 from lectern.sources.tables import delivered_once, load, spread
 from lectern.streaming import jobs
@@ -139,8 +139,8 @@ def _f01(spark, d):
 @query("f22_anchor", f"""WITH {B}, u AS (SELECT DISTINCT source_id, uri FROM sources) SELECT id, CASE WHEN coalesce(uri, '') = '' OR coalesce(page, 0) = 0 THEN uri
     ELSE uri || CASE WHEN contains(uri, '#') THEN '&' ELSE '#' END || 'page=' || page END AS anchor FROM b LEFT JOIN u USING (source_id)""")
 def _f22(spark, d):
-    u = delivered_once(spark, d, "sources", "source_id", "uri")
-    return blocks(spark, d, "id", "source_id", "page").join(F.broadcast(u), "source_id", "left").select("id", T.source_anchor(F.col("uri"), F.col("page")).alias("anchor"))
+    u = bounded(delivered_once(spark, d, "sources", "source_id", "uri"))
+    return blocks(spark, d, "id", "source_id", "page").join(u, "source_id", "left").select("id", T.source_anchor(F.col("uri"), F.col("page")).alias("anchor"))
 
 
 @query("p09_discriminative", rf"WITH {B} SELECT id FROM b WHERE length(text) > 0 AND {_less('text', T.WORD)} / length(text)::DOUBLE >= 0.5")
@@ -226,8 +226,9 @@ def _j06(spark, d):
 
 @query("t07_superseded", f"WITH {V} SELECT version_id FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY version_no DESC) AS r FROM v) WHERE r > 1")
 def _t07(spark, d):
-    order = Window.partitionBy("document_id").orderBy(F.desc("version_no"))
-    return versions(spark, d).withColumn("r", F.row_number().over(order)).where("r > 1").select("version_id")
+    v = versions(spark, d).select("document_id", "version_id", "version_no")
+    last = v.groupBy("document_id").agg(F.max("version_no").alias("_last"))
+    return v.join(last, "document_id").where("version_no < _last").select("version_id")
 
 
 # --- filters and joins ----------------------------------------------------------------------------
@@ -255,16 +256,15 @@ def _p05(spark, d):
     return versions(spark, d).where("is_current AND status = 'indexed'").select("document_id", "version_id")
 
 
-@query("p06_title_ids", f"WITH {V} SELECT DISTINCT document_id FROM v WHERE is_current AND title ILIKE '%o%of%'")
+@query("p06_title_ids", f"WITH {V} SELECT DISTINCT document_id FROM v WHERE is_current AND title ILIKE '%r of%'")
 def _p06(spark, d):
-    v = versions(spark, d)
-    return v.where(F.col("is_current") & F.col("title").ilike("%o%of%")).select("document_id").distinct()
+    return visibility.titles_matching(versions(spark, d), "R of")
 
 
-@query("p07_resolve", f"WITH {B}, {V} SELECT id FROM b WHERE document_id IN (SELECT document_id FROM v WHERE is_current AND title ILIKE '%record%') AND document_id IN (SELECT document_id FROM v WHERE lang = 'en')")
+@query("p07_resolve", f"WITH {B}, {V} SELECT id FROM b WHERE document_id IN (SELECT document_id FROM v WHERE is_current AND title ILIKE '%of%') AND document_id IN (SELECT document_id FROM v WHERE lang = 'en')")
 def _p07(spark, d):
     v = versions(spark, d)
-    titled = visibility.titles_matching(v, "record")
+    titled = visibility.titles_matching(v, "of")
     return visibility.resolve_documents(titled, v.where("lang = 'en'"), blocks(spark, d, "id", "document_id")).select("id")
 
 
@@ -287,17 +287,17 @@ def _j02(spark, d):
     return library.version_counts(versions(spark, d), load(spark, d, "blocks", "id", "document_id"))
 
 
-@query("j07_span_overlap", f"""WITH {B}, {S} SELECT s.id AS section, b.id AS block FROM s JOIN b ON s.document_id = b.document_id AND b.char_end > s.char_start AND b.char_start < s.char_end""")
+@query("j07_span_overlap", f"""WITH {B}, {S} SELECT s.id AS section, b.id AS block FROM s JOIN b ON s.document_id = b.document_id AND b.char_end > s.char_start AND b.char_start < s.char_end WHERE s.char_end > s.char_start AND b.char_end > b.char_start""")
 def _j07(spark, d):
     s = sections(spark, d).select(F.col("id").alias("section"), "document_id", F.col("char_start").alias("ss"), F.col("char_end").alias("se"))
-    joined = s.join(blocks(spark, d, "id", "document_id", "char_start", "char_end"), "document_id")
-    return joined.where("char_end > ss AND char_start < se").select("section", F.col("id").alias("block"))
+    joined = intervals.overlapping(s, blocks(spark, d, "id", "document_id", "char_start", "char_end"), ["document_id"], ("ss", "se"), ("char_start", "char_end"))
+    return joined.select("section", F.col("id").alias("block"))
 
 
-@query("j11_unbuilt", f"WITH {V} SELECT version_id FROM v WHERE is_current AND version_id NOT IN (SELECT version_id FROM blocks WHERE version_id IS NOT NULL)")
+@query("j11_unbuilt", f"WITH {V} SELECT version_id FROM v WHERE status <> 'failed' AND version_id NOT IN (SELECT version_id FROM blocks WHERE version_id IS NOT NULL)")
 def _j11(spark, d):
     built = load(spark, d, "blocks", "version_id").distinct()
-    return versions(spark, d).where("is_current").join(built, "version_id", "left_anti").select("version_id")
+    return versions(spark, d).where("status <> 'failed'").join(built, "version_id", "left_anti").select("version_id")
 
 
 @query("j12_visible_blocks", f"WITH {B}, {V} SELECT id FROM b WHERE document_id IN (SELECT document_id FROM v WHERE is_current AND (coalesce(len(acl), 0) = 0 OR list_contains(acl, 'public') OR list_has_any(acl, ['team-a'])))")
@@ -332,10 +332,24 @@ def _s23(spark, d):
     return load(spark, d, "vectors", "tenant_id", "chunk_id").groupBy("tenant_id").agg(F.countDistinct("chunk_id").alias("n"))
 
 
-@query("s21_upsert", f"WITH {B} SELECT id AS chunk_id, CASE WHEN kind = 'list' THEN 'replaced' ELSE kind END AS kind FROM b")
-def _s21(spark, d):
+_UPSERT = "SELECT id AS chunk_id, CASE WHEN kind = 'list' THEN 'replaced' ELSE kind END AS kind FROM b"
+
+
+def _index_and_rows(spark, d):
+    """The index, and rows of which some are known and some are new."""
     index = blocks(spark, d, "id", "kind").withColumnRenamed("id", "chunk_id")
-    return store.upsert(index, index.where("kind = 'list'").withColumn("kind", F.lit("replaced")))
+    fresh = index.where("kind = 'code'").select(F.concat("chunk_id", F.lit("-new")).alias("chunk_id"), "kind")
+    return index, index.where("kind = 'list'").withColumn("kind", F.lit("replaced")).unionByName(fresh)
+
+
+@query("s21_upsert", f"WITH {B} {_UPSERT} UNION ALL SELECT id || '-new', kind FROM b WHERE kind = 'code'")
+def _s21(spark, d):
+    return store.upsert(*_index_and_rows(spark, d))
+
+
+@query("s21_update_only", f"WITH {B} {_UPSERT}")
+def _s21_update(spark, d):
+    return store.update_only(*_index_and_rows(spark, d))
 
 
 @query("s22_delete", f"WITH {B}, {V} SELECT id AS chunk_id FROM b WHERE document_id NOT IN (SELECT document_id FROM v WHERE status = 'superseded')")
@@ -370,10 +384,16 @@ def _w08(spark, d):
     return intervals.gaps(_spans(spark, d), ["document_id"])
 
 
-_COVER = """c AS (SELECT document_id, char_start::BIGINT AS cs, char_end::BIGINT AS ce FROM s WHERE char_end > char_start)"""
-
-
-@query("u06_subtract")
+@query("u06_subtract", f"""WITH {B}, {S}, {_SPANS}, q AS (SELECT DISTINCT document_id, "start" AS s, max("end") OVER (PARTITION BY document_id, "start", "end") AS e FROM x),
+    c AS (SELECT DISTINCT document_id, char_start::BIGINT AS cs, char_end::BIGINT AS ce FROM s WHERE char_end > char_start AND level = 2),
+    m AS (SELECT *, max(ce) OVER (PARTITION BY document_id ORDER BY cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c),
+    i AS (SELECT *, sum(CASE WHEN cs <= r THEN 0 ELSE 1 END) OVER (PARTITION BY document_id ORDER BY cs, ce ROWS UNBOUNDED PRECEDING) AS g FROM m),
+    h AS (SELECT document_id, min(cs) AS hs, max(ce) AS he FROM i GROUP BY document_id, g),
+    o AS (SELECT q.document_id, s, e, hs, he FROM q JOIN h ON q.document_id = h.document_id AND hs < e AND he > s),
+    p AS (SELECT document_id, he AS a, coalesce(lead(hs) OVER (PARTITION BY document_id, s, e ORDER BY hs), e) AS z FROM o
+          UNION ALL SELECT document_id, s, min(hs) FROM o GROUP BY document_id, s, e
+          UNION ALL SELECT document_id, s, e FROM q WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.document_id = q.document_id AND o.s = q.s AND o.e = q.e))
+    SELECT DISTINCT document_id, a AS "start", z AS "end" FROM p WHERE z > a""")
 def _u06(spark, d):
     s = sections(spark, d).where("char_end > char_start AND level = 2").select("document_id", F.col("char_start").cast("long").alias("start"), F.col("char_end").cast("long").alias("end"))
     return intervals.subtract(_spans(spark, d).drop("id"), s, ["document_id"])
@@ -401,8 +421,7 @@ def _c05(spark, d):
 
 @query("w07_ordinals", f"WITH {B} SELECT id, (row_number() OVER (PARTITION BY version_id ORDER BY char_start, id) - 1)::BIGINT AS ordinal FROM b")
 def _w07(spark, d):
-    order = Window.partitionBy("version_id").orderBy("char_start", "id")
-    return blocks(spark, d, "id", "version_id", "char_start").select("id", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
+    return intervals.numbered(blocks(spark, d, "id", "version_id", "char_start"), ["version_id"], ["char_start", "id"]).select("id", "ordinal")
 
 
 @query("w05_sentence_windows", r"""WITH x AS (SELECT doc_id, regexp_extract_all(text, E'[^。！？；!?;\n]*[。！？；!?;\n]|[^。！？；!?;\n]+') AS s FROM documents WHERE length(text) > 0),
@@ -467,13 +486,13 @@ def _f16(spark, d):
 _USABLE = "u AS (SELECT DISTINCT chunk_id, tenant_id, dense::DOUBLE[] AS x FROM vectors WHERE len(dense) = 64 AND len(list_filter(dense, lambda y: isnan(y) OR isinf(y))) = 0 AND len(list_filter(dense, lambda y: y <> 0)) > 0)"
 
 
-@query("j13_nearest", f"""WITH {_USABLE}, q AS (SELECT * FROM u WHERE substr(chunk_id, 1, 2) = '00'),
+@query("j13_nearest", f"""WITH {_USABLE}, q AS (SELECT * FROM u WHERE ('0x' || substr(md5(chunk_id), 1, 8))::BIGINT % 100 = 0),
     s AS (SELECT q.chunk_id AS query_id, u.chunk_id, list_cosine_similarity(q.x, u.x) AS c FROM q, u WHERE q.chunk_id <> u.chunk_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, round(c, 4) AS score, rank::BIGINT AS rank FROM r WHERE rank <= 10""")
 def _j13(spark, d):
-    """Queries: the chunks whose id begins with 00, one in 256, against all."""
+    """Queries: every hundredth chunk, by hash of its id, against all."""
     v = delivered_once(spark, d, "vectors", "chunk_id", "tenant_id", "dense")
-    asked = v.where("substr(chunk_id, 1, 2) = '00'").select(F.col("chunk_id").alias("query_id"), "tenant_id", "dense")
+    asked = v.where(F.conv(F.substring(F.md5(F.encode("chunk_id", "UTF-8")), 1, 8), 16, 10).cast("long") % 100 == 0).select(F.col("chunk_id").alias("query_id"), "tenant_id", "dense")
     best = lexical.top(dense.nearest(asked, v, 10, 64), 10)
     return best.withColumn("score", F.round("score", 4)).withColumn("rank", F.col("rank").cast("long"))
 
@@ -500,13 +519,12 @@ def _f17(spark, d):
 
 
 @query("f18_rerank", f"""WITH {B}, {Q}, h AS (SELECT DISTINCT query_id, document_id FROM fused_hits),
-    x AS (SELECT query_id, b.id AS chunk_id, list_distinct({_tokens("query")}) AS t, {_tokens("text")} AS c FROM h JOIN q USING (query_id) JOIN b ON b.document_id = h.document_id AND kind <> 'text' WHERE query IS NOT NULL AND text IS NOT NULL)
+    x AS (SELECT query_id, b.id AS chunk_id, list_distinct({_tokens("query")}) AS t, {_tokens("text")} AS c FROM h JOIN q USING (query_id) JOIN b ON b.document_id = h.document_id WHERE query IS NOT NULL AND text IS NOT NULL)
     SELECT query_id, chunk_id, CASE WHEN len(t) = 0 OR len(c) = 0 THEN 0.0 ELSE round(0.7 * len(list_intersect(t, list_distinct(c))) / len(t)::DOUBLE
       + 0.2 * least(len(list_filter(c, lambda y: list_contains(t, y))) / (sqrt(len(c)) + 1.0), 1.0)
       + 0.1 * (1.0 - coalesce(list_min(list_filter(list_transform(t, lambda y: list_position(c, y)), lambda p: p > 0)) - 1, len(c)) / len(c)::DOUBLE), 6) END AS rerank_score FROM x""")
 def _f18(spark, d):
-    # Its SQL leaves out the blocks of prose.
-    x = _asked_blocks(spark, d).where("kind <> 'text'")
+    x = _asked_blocks(spark, d)
     tokenized = x.select("query_id", "chunk_id", T.tokens(F.col("query")).alias("t"), T.tokens(F.col("text")).alias("c"))
     return tokenized.select("query_id", "chunk_id", fusion.coverage_score(F.col("t"), F.col("c")).alias("rerank_score"))
 
@@ -538,7 +556,7 @@ def _c1_folded(spark, d):
 # --- reuse ----------------------------------------------------------------------------------------
 
 _PLAIN = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
-_MARKS = r"(?i)\[\s*(?:\d{1,4}|citation needed|clarification needed|verification needed|page needed|note\s*\d*|nb\s*\d*|dead link|sic|update|edit|by whom|according to whom|when|who|why|where)\??\s*\]"
+_MARKS = T.CITATION_MARK
 _PRINTS = rf"""x AS (SELECT doc_id, regexp_extract_all(trim(regexp_replace(lower(regexp_replace(text, '{_MARKS}', '', 'g')), '\s+', ' ', 'g')), '(?s).') AS p FROM documents WHERE text IS NOT NULL),
     c AS (SELECT doc_id, unnest(p) AS c, unnest(range(1, len(p) + 1)) AS i FROM x),
     g AS (SELECT doc_id, i, c || lead(c, 1) OVER o || lead(c, 2) OVER o || lead(c, 3) OVER o || lead(c, 4) OVER o AS g FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -594,10 +612,9 @@ def _r11(spark, d):
     asked = reuse.used(probes, index).groupBy("query_id").agg(F.collect_set("fingerprint").alias("f"))
     asked = asked.join(prints.select(F.col("document_id").alias("query_id"), "text"), "query_id")
     found = cut(align.align_probes(asked, prints, 5))
-    spans = found.select("query_id", "document_id", F.col("query_start").alias("start"), F.col("query_end").alias("end"))
-    matched = intervals.covered_length(spans, ["query_id", "document_id"], out="matched_chars")
-    best = found.groupBy("query_id", "document_id").agg(F.max("score").alias("score"), F.count("*").alias("passages"))
-    return best.join(matched, ["query_id", "document_id"]).withColumn("score", F.round("score", 6))
+    kept = align.one_per_place(found)
+    sizes = prints.select(F.col("document_id").alias("query_id"), F.length("text").alias("n_chars"))
+    return reports.rollup(kept, sizes).withColumn("score", F.round("score", 6))
 
 
 @query("f25_blake_fingerprints")
@@ -609,16 +626,35 @@ def _f25(spark, d):
 # --- parsing --------------------------------------------------------------------------------------
 
 
-@query("f07_chunks", "SELECT DISTINCT id, true AS exact FROM blocks WHERE length(trim(text)) > 0 AND regexp_matches(text, '[^\\s]')")
+_BLANK_SQL = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{001C}-\x{001F}\x{000B}]"
+_BLANK = r"[\s\u00A0\u0085\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\u001C-\u001F]"
+
+
+@query("f07_chunks", f"""WITH {B}, x AS (SELECT id, kind, text, coalesce(char_start, 0) AS a, length(regexp_extract(text, '^{_BLANK_SQL}*')) AS l, length(regexp_extract(text, '{_BLANK_SQL}*$')) AS r FROM b WHERE regexp_matches(text, '[^{_BLANK_SQL[1:]}'))
+    SELECT id, (CASE WHEN kind = 'table' THEN a ELSE a + l END)::BIGINT AS first, (CASE WHEN kind = 'table' THEN a + length(text) ELSE a + length(text) - r END)::BIGINT AS last,
+           md5(regexp_replace(text, '{_BLANK_SQL}', '', 'g')) AS digest, true AS fitting FROM x""")
 def _f07(spark, d):
-    """Whether the chunks of every block slice back out of its text, cover its words in order and stay under the limit."""
+    """Of every block where its chunks begin and end, what they hold together but for blanks, and whether all slice back and keep the limit."""
     b = blocks(spark, d, "id", "kind", "text", "char_start")
     c = parse.chunk_blocks(b).join(b.select("id", F.col("text").alias("_t"), F.coalesce("char_start", F.lit(0)).alias("_at")), "id")
     ok = (F.substring("_t", F.col("char_start") - F.col("_at") + 1, F.col("char_end") - F.col("char_start")) == F.col("text")) & ((F.length("text") <= 4000) | (F.col("kind") == "table"))
-    return c.where(F.col("_t").rlike("[^ \t\n\r\f]")).groupBy("id").agg(F.min(ok).alias("exact"))
+    # The chunks of one block are bounded by its text.
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "")
+    found = c.groupBy("id").agg(F.min("char_start").cast("long").alias("first"), F.max("char_end").cast("long").alias("last"), F.regexp_replace(whole, _BLANK, "").alias("_w"), F.min(ok).alias("fitting"))
+    return found.select("id", "first", "last", F.md5(F.encode("_w", "UTF-8")).alias("digest"), "fitting")
+
+
+_NORMAL = _strip(r"regexp_replace(regexp_replace(regexp_replace(text, E'\r\n|\r', E'\n', 'g'), '[ \t　]+', ' ', 'g'), E'\n{3,}', E'\n\n', 'g')")
+_ATX = r"(?m)^#{1,6}[ \t]+[^\n]*$"
 
 
-@query("s14_markdown")
+@query("s14_markdown", rf"""WITH n AS (SELECT doc_id, {_NORMAL} AS t FROM documents WHERE text IS NOT NULL),
+    l AS (SELECT doc_id, t, list_transform(string_split(t, E'\n'), lambda x: regexp_replace(x, '^[\s　]+|[\s　]+$', '', 'g')) AS x FROM n),
+    p AS (SELECT doc_id, CASE WHEN regexp_matches(t, '(?m)^#{{1,6}}\s+\S') THEN t ELSE array_to_string(list_transform(x, lambda y:
+        CASE WHEN length(y) BETWEEN 1 AND {T.HEADING_LENGTH} AND NOT regexp_matches(y, '{T.NO_HEADING_END}') AND regexp_matches(y, '{T.HEADING}') THEN '## ' || y ELSE y END), E'\n') END AS m FROM l),
+    q AS (SELECT doc_id, {_strip("m")} AS m FROM p)
+    SELECT doc_id || '.md' AS path, 'text' AS parser, (1 + len(regexp_extract_all(m, '{_ATX}')))::INT AS n_sections,
+           len(list_filter(regexp_split_to_array(m, '{_ATX}'), lambda y: regexp_matches(y, '\S')))::INT AS n_blocks FROM q""")
 def _s14(spark, d):
     """Sections and blocks of every document's text."""
     files = load(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content"))

@@ -13,6 +13,18 @@ WIDE = "[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]"
 DOMINANT = "[㐀-鿿]"
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]+"
+# Fixed value: marks of citation and editing in copied articles, like [12] or [note 3].
+CITATION_MARK = (
+    r"(?i)\[\s*(?:\d{1,4}|citation needed|clarification needed|verification needed|page needed|note\s*\d*|nb\s*\d*|dead link|sic|update|edit"
+    r"|by whom|according to whom|when|who|why|where)\??\s*\]"
+)
+# What a heading of a Chinese book looks like, its greatest length, and what it doesn't end with.
+_NUMERAL = "〇零一二三四五六七八九十百千0-9"
+HEADING = (
+    rf"^((?:第[{_NUMERAL}]+[章节節回卷篇部集])|(?:卷(?:之)?[{_NUMERAL}]+)|(?:[上中下]卷)|(?:[{_NUMERAL}]+[、.．]\s*\S{{0,20}})"
+    r"|(?:序|自序|原序|跋|后记|後記|目录|目錄|凡例|附录|附錄|总论|總論))\s*\S{0,24}$"
+)
+HEADING_LENGTH, NO_HEADING_END = 32, "[。，；：、.,;]$"
 # Glyphs that never fold, and old forms beyond the simplification table.
 PROTECTED = "乾"
 OLD_FORMS = {"巻": "卷", "歳": "岁", "冩": "写", "毎": "每"}
@@ -107,6 +119,19 @@ def chars_for_tokens(budget: int, c: Column) -> Column:
     return F.when(F.coalesce(F.length(c), lit(0)) == 0, lit(budget)).otherwise(F.greatest(F.floor(lit(budget) / ratio), lit(1))).cast("int")
 
 
+def is_heading(line: Column) -> Column:
+    """Whether a stripped line is the heading of a chapter."""
+    return F.length(line).between(1, HEADING_LENGTH) & ~line.rlike(NO_HEADING_END) & line.rlike(HEADING)
+
+
+def promote_headings(c: Column) -> Column:
+    """Headings of Chinese books as second-level Markdown headings, all lines stripped, unless the text has Markdown ones."""
+    line = lambda x: F.regexp_replace(x, r"^[\s　]+|[\s　]+$", "")
+    mark = lambda x: F.when(is_heading(x), F.concat(lit("## "), x)).otherwise(x)
+    promoted = F.array_join(F.transform(F.transform(F.split(c, "\n"), line), mark), "\n")
+    return F.when(c.rlike(r"(?m)^#{1,6}\s+\S"), c).otherwise(promoted)
+
+
 def sentences(c: Column) -> Column:
     """Parts that end with a terminator (kept) or a line end; the ASCII full stop is none."""
     return F.filter(F.split(c, r"(?<=[。！？；!?;\n])"), lambda s: s != "")

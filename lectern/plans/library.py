@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.positions import following
 from lectern.sources.tables import delivered_once
 
 
@@ -34,7 +35,5 @@ def shelves(versions: DataFrame) -> DataFrame:
 
 def validity(versions: DataFrame) -> DataFrame:
     """Each version with the half-open time it was the live one: (document_id, version_id, active_from, active_until)."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("document_id").orderBy("version_no")
-    return versions.select("document_id", "version_id", F.col("created_at").alias("active_from"), F.lead("created_at").over(order).alias("active_until"))
+    rows = versions.select("document_id", "version_id", "version_no", F.col("created_at").alias("active_from"))
+    return following(rows, ["document_id"], ["version_no", "version_id"], "active_from", "active_until").drop("version_no")

@@ -25,4 +25,4 @@ def delivered_once(spark: SparkSession, folder: str, name: str, *columns: str) -
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores where the scan has fewer splits than the session has: a small file with costly rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
