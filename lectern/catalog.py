@@ -524,8 +524,10 @@ def _f17(spark, d):
       + 0.2 * least(len(list_filter(c, lambda y: list_contains(t, y))) / (sqrt(len(c)) + 1.0), 1.0)
       + 0.1 * (1.0 - coalesce(list_min(list_filter(list_transform(t, lambda y: list_position(c, y)), lambda p: p > 0)) - 1, len(c)) / len(c)::DOUBLE), 6) END AS rerank_score FROM x""")
 def _f18(spark, d):
-    x = _asked_blocks(spark, d)
-    tokenized = x.select("query_id", "chunk_id", T.tokens(F.col("query")).alias("t"), T.tokens(F.col("text")).alias("c"))
+    # A block is taken apart once, however many requests hit its document.
+    b = blocks(spark, d, "id", "document_id", "text").where("text IS NOT NULL").select(F.col("id").alias("chunk_id"), "document_id", T.tokens(F.col("text")).alias("c"))
+    q = requests(spark, d).where("query IS NOT NULL").select("query_id", T.tokens(F.col("query")).alias("t"))
+    tokenized = delivered_once(spark, d, "fused_hits", "query_id", "document_id").join(q, "query_id").join(b, "document_id")
     return tokenized.select("query_id", "chunk_id", fusion.coverage_score(F.col("t"), F.col("c")).alias("rerank_score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -14,6 +14,7 @@ from lectern.session import cut
 
 OVERFETCH = 4
 DIM = 128
+MODES = ("hybrid", "dense", "sparse")
 
 
 def variants(requests: DataFrame) -> DataFrame:
@@ -46,33 +47,85 @@ def dense(requests: DataFrame, chunks: DataFrame, k: int, folded: bool = False)
     return nearest_visible(asked, stored, k, DIM).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
 
-def hybrid(requests: DataFrame, chunks: DataFrame, top_k: int = 10, heading: str | None = None, width: int = 320, folded: bool = False) -> DataFrame:
+def checked(requests: DataFrame, top_k: int = 10) -> DataFrame:
+    """``requests`` with ``reason`` why one can't be answered (null if it can), and with its defaults filled in.
+
+    A query has 1 to 2,000 characters that aren't all blank, ``top_k`` is 1 to
+    100, ``mode`` is one of hybrid, dense and sparse.
+    """
+    query = F.regexp_replace("query", r"^\s+|\s+$", "")
+    reason = (
+        F.when(F.coalesce(F.length(query), F.lit(0)) == 0, "no_query")
+        .when(F.length("query") > 2_000, "query_too_long")
+        .when(~F.coalesce("top_k", F.lit(top_k)).between(1, 100), "invalid_top_k")
+        .when(~F.coalesce("mode", F.lit("hybrid")).isin(*MODES), "invalid_mode")
+    )
+    filled = {"top_k": F.coalesce("top_k", F.lit(top_k)), "mode": F.coalesce("mode", F.lit("hybrid")), "rerank": F.coalesce("rerank", F.lit(True))}
+    return requests.withColumn("reason", reason).withColumns(filled)
+
+
+def hybrid(requests: DataFrame, chunks: DataFrame, heading: str | None = None, width: int = 320, folded: bool = False) -> DataFrame:
     """(query_id, rank, chunk_id, score, rerank_score, contributions, snippet, anchor) of cited results.
 
-    Rewriting, lexical retrieval, vectors of all visible chunks, rank fusion,
-    the heading filter after fusion and before reranking, reranking by
-    coverage, and a snippet.  Requests without a term have no results.
-    ``chunks`` (chunk_id, text, tenant_id, acl, is_current, heading_path, page, uri).
+    Rewriting, lexical retrieval and vectors of all visible chunks as the
+    request's ``mode`` says, rank fusion, the heading filter after fusion and
+    before reranking, reranking by coverage (by 0 for requests that want none,
+    which keeps the fused order), a cut at the request's ``top_k``, and a
+    snippet.  Requests that `checked` refuses, and those without a term, have
+    no results.  ``chunks`` (chunk_id, text, tenant_id, acl, is_current,
+    heading_path, page, uri; with ``analyzed`` their stored tokens are used).
     """
+    requests = checked(requests).where("reason IS NULL")
+    limits = requests.select("query_id", "mode", (F.col("top_k") * OVERFETCH).alias("_limit"))
     # The index is a written table: tokens are made once, whatever reads it.
     tf = cut(lexical.postings(chunks, folded=folded))
-    limit = top_k * OVERFETCH
-    lexical_hits = lexical.top(sparse(requests, chunks, tf, folded), limit).select("query_id", "chunk_id", "score")
-    vector_hits = lexical.top(dense(requests, chunks, limit, folded), limit).select("query_id", "chunk_id", "score")
+
+    def best(hits: DataFrame, *modes: str) -> DataFrame:
+        return lexical.top(hits.join(limits.where(F.col("mode").isin(*modes)), "query_id"), "_limit").select("query_id", "chunk_id", "score")
+
+    lexical_hits = best(sparse(requests.where("mode <> 'dense'"), chunks, tf, folded), "hybrid", "sparse")
+    most = (requests.agg(F.max("top_k")).first()[0] or 1) * OVERFETCH
+    vector_hits = best(dense(requests.where("mode <> 'sparse'"), chunks, most, folded), "hybrid", "dense")
     runs = lexical_hits.withColumn("retriever", F.lit("sparse")).unionByName(vector_hits.withColumn("retriever", F.lit("dense")))
-    fused = lexical.top(reciprocal_rank(runs), limit).drop("rank")
+    fused = lexical.top(reciprocal_rank(runs).join(limits, "query_id"), "_limit").drop("rank", "mode", "_limit")
     # Only the ids were ranked; the texts are fetched for what is left.
-    cited = fused.join(chunks.select("chunk_id", "text", "heading_path", "page", "uri"), "chunk_id")
+    stored = ["analyzed"] if "analyzed" in chunks.columns else []
+    cited = fused.join(chunks.select("chunk_id", "text", "heading_path", "page", "uri", *stored), "chunk_id")
     if heading:
         cited = cited.where(heading_contains(F.col("heading_path"), heading))
-    cited = cited.join(requests.select("query_id", "query"), "query_id")
-    q, c = T.tokens(F.col("query"), folded), T.tokens(F.col("text"), folded)
-    scored = cited.withColumn("rerank_score", coverage_score(q, c))
+    cited = cited.join(requests.select("query_id", "query", "top_k", "rerank"), "query_id")
+    q, c = T.tokens(F.col("query"), folded), stored_tokens(F.col("analyzed") if stored else None, F.col("text"), folded)
+    scored = cited.withColumn("rerank_score", F.when(F.col("rerank"), coverage_score(q, c)).otherwise(F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("score"), "chunk_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
+    best_hits = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("top_k"))
     long = F.filter(F.array_distinct(q), lambda t: F.length(t) > 1)
     terms = F.when(F.size(long) > 0, long).otherwise(F.array_distinct(q))
-    return best.select(
+    return best_hits.select(
         "query_id", "rank", "chunk_id", "score", "rerank_score", "contributions",
         T.snippet(F.col("text"), terms, width).alias("snippet"), T.source_anchor(F.col("uri"), F.col("page")).alias("anchor"),
     )
+
+
+def stored_tokens(analyzed: Column | None, text: Column, folded: bool = False) -> Column:
+    """The tokens of a chunk from its index form, made from the text where that is missing."""
+    made = T.tokens(text, folded)
+    return made if analyzed is None else F.when(F.coalesce(analyzed, F.lit("")) != "", F.split(analyzed, " ")).otherwise(made)
+
+
+def backfilled(chunks: DataFrame, folded: bool = False, force: bool = False) -> DataFrame:
+    """``chunks`` with ``analyzed`` made where it is missing or empty, or with ``force`` everywhere."""
+    missing = F.lit(force) | (F.coalesce(F.col("analyzed"), F.lit("")) == "")
+    return chunks.withColumn("analyzed", F.when(missing, T.analyze(F.col("text"), folded)).otherwise(F.col("analyzed")))
+
+
+def to_embed(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Chunks without a vector of ``model``: what a run that was broken off, or a change of model, leaves to do."""
+    return chunks.join(vectors.where(F.col("model") == model).select("chunk_id"), "chunk_id", "left_anti")
+
+
+def trace(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """(query_id, reason, n_variants, n_results, n_sparse, n_dense) of every request: what was asked, and what each retriever gave."""
+    asked = checked(requests).select("query_id", "reason", F.size(T.rewrite(F.col("query"))).alias("n_variants"))
+    by = lambda name: F.count(F.when(F.map_contains_key("contributions", name), 1))
+    given = results.groupBy("query_id").agg(F.count("*").alias("n_results"), by("sparse").alias("n_sparse"), by("dense").alias("n_dense"))
+    return asked.join(given, "query_id", "left").fillna(0, ["n_results", "n_sparse", "n_dense"])
