@@ -201,7 +201,7 @@ def mime_type(path: Column) -> Column:
 def title_from(filename: Column, text: Column) -> Column:
     """The file's name without a text suffix, else the first line that isn't blank, 120 characters at most."""
     stem = F.regexp_replace(F.regexp_extract(filename, r"([^/\\]*)$", 1), r"(?i)\.(txt|md|markdown|text)$", "")
-    line = F.regexp_extract(text, r"(?m)^\s*(\S.*?)\s*$", 1)
+    line = F.regexp_extract(text, r"(?md)^\s*(\S.*?)\s*$", 1)
     return F.when(F.coalesce(stem, lit("")) != "", stem).otherwise(F.substring(F.coalesce(line, lit("")), 1, 120))
 
 

@@ -19,7 +19,8 @@ SENTENCES, OVERLAP = 4, 1
 #: Characters that are neither blank nor punctuation, below which nothing is looked up.
 LEAST_EFFECTIVE = 12
 # Fixed value: a sentence with what follows it: stops of either script, or a line end.
-SENTENCE = r"[^.!?。！？；\n]*(?:[.!?]+(?:\s+|$)|[。！？；]+\s*|\n\s*|[.!?]+)|[^.!?。！？；\n]+"
+_SPACE = r"[ \t\n\r\f\v]"
+SENTENCE = rf"[^.!?。！？；\n]*(?:[.!?]+(?:{_SPACE}+|\Z)|[。！？；]+{_SPACE}*|\n{_SPACE}*|[.!?]+)|[^.!?。！？；\n]+"
 
 
 def spans(text: str) -> np.ndarray:

@@ -26,6 +26,13 @@ def version_counts(versions: DataFrame, blocks: DataFrame) -> DataFrame:
     return n.join(c, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
+def version_lists(versions: DataFrame) -> DataFrame:
+    """(document_id, listed): number and status of every version of a document, in order."""
+    listed = F.array_sort(F.collect_list(F.struct("version_no", "status")))
+    each = F.transform(listed, lambda v: F.concat(v["version_no"].cast("string"), F.lit(":"), v["status"]))
+    return versions.groupBy("document_id").agg(F.array_join(each, " ").alias("listed"))
+
+
 def shelves(versions: DataFrame) -> DataFrame:
     """(source_id, n, titles): current documents by source, in order of title and id."""
     current = versions.where("is_current")

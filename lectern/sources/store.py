@@ -49,6 +49,11 @@ def update_only(index: DataFrame, rows: DataFrame, key: str = "chunk_id") -> Dat
     return upsert(index, rows.join(index.select(key), key, "left_semi"), key)
 
 
+def replace(index: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """The index with all rows of every value of ``by`` that ``rows`` has replaced by those."""
+    return index.join(rows.select(by).distinct(), by, "left_anti").unionByName(rows)
+
+
 def delete(index: DataFrame, keys: DataFrame, by: str = "chunk_id") -> DataFrame:
     return index.join(keys.select(by).distinct(), by, "left_anti")
 
