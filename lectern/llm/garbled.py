@@ -41,6 +41,8 @@ HOPELESS = 12.0
 #: Characters of a run that are tried at a time, from its start to its end, until a mapping explains them; it is then
 #: undone in the whole text.
 VOTING = 96
+#: Length up to which the readings of a run are remembered, and how many a worker remembers.
+SHORT, REMEMBERED = 12, 10_000
 _BAD = "�"
 
 # Single-byte and multi-byte encodings that text is mistaken for, and those it was written in.
@@ -93,12 +95,17 @@ def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - 21)).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def _same() -> np.ndarray:
+    """Every code point as it is counted: digits and white space as one character each."""
+    out = np.arange(LIMIT, dtype=np.uint32)
+    out[48:58] = 48
+    out[[9, 10, 13, 0xA0, 0x3000]] = 32
+    return out
+
+
 def _plain(points: np.ndarray) -> np.ndarray:
-    """Digits and white space as one character each."""
-    out = points.copy()
-    out[(points >= 48) & (points <= 57)] = 48
-    out[(points == 9) | (points == 10) | (points == 13) | (points == 0xA0) | (points == 0x3000)] = 32
-    return np.minimum(out, LIMIT - 1)
+    return _same()[np.minimum(points, LIMIT - 1)]
 
 
 def weighed(documents: DataFrame, text: str) -> DataFrame:
@@ -134,21 +141,17 @@ def count_pairs(documents: DataFrame, text: str) -> DataFrame:
     return weighed(documents, text).mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
-def worst(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The highest sum of improbability of any stretch of each row, for all rows of a batch at once."""
-    if not len(scores):
-        return np.zeros(len(offsets) - 1)
-    badness = -0.5 - scores.astype(np.float64)
-    # The pair that ends in the next row belongs to none.
-    ends = offsets[1:-1] - 1
-    badness[ends[(ends >= 0) & (ends < len(badness))]] = 0.0
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(badness)]
-    # Every row begins far below all that came before, so that the running minimum begins anew.
-    sums = np.cumsum(badness) - row * (8.0 * (len(badness) + 1))
-    floor = np.minimum.accumulate(sums - badness)
-    out = np.zeros(len(offsets) - 1)
-    np.maximum.at(out, row, sums - floor)
-    return out
+def doubtful(scores: np.ndarray, offsets: np.ndarray) -> set[int]:
+    """Rows of a batch with a stretch whose improbability reaches LEAST; ``scores`` are those of all adjacent pairs of the batch."""
+    low = np.nonzero(scores < -0.5)[0]
+    found = set()
+    for i in np.unique(np.searchsorted(offsets, low, side="right") - 1).tolist():
+        badness = -0.5 - scores[offsets[i] : offsets[i + 1] - 1].astype(np.float64)
+        if len(badness):
+            sums = np.cumsum(badness)
+            if (sums - np.minimum.accumulate(np.minimum(sums - badness, sums))).max() >= LEAST:
+                found.add(i)
+    return found
 
 
 class PairModel:
@@ -165,7 +168,10 @@ class PairModel:
     def scores(self, points: np.ndarray) -> np.ndarray:
         """Score of every adjacent pair; a pair of ASCII characters has a fixed, slightly probable one."""
         points = _plain(points)
-        a, b = points[:-1], points[1:]
+        out = np.full(max(0, len(points) - 1), 0.7, dtype=np.float32)
+        wide = points >= 128
+        at = np.nonzero(wide[:-1] | wide[1:])[0]
+        a, b = points[at], points[at + 1]
         joint = self.table[_hash(a, b)]
         expected = self.single[a] * self.single[b]
         rare = np.full(len(a), RARE_LATIN, dtype=np.float32)
@@ -174,11 +180,10 @@ class PairModel:
         rare[(a >= 0x2E80) | (b >= 0x2E80)] = RARE_CJK
         s = np.log((joint + 0.02 * rare) / (np.minimum(expected, joint) + rare))
         s = np.clip(s, -4.0, 3.0)
-        s[(a < 128) & (b < 128)] = 0.7
         odd = ((a >= 0x80) & (a < 0xA0)) | ((b >= 0x80) & (b < 0xA0)) | (a == 0xFFFD) | (b == 0xFFFD) | ((b >= 0xE000) & (b < 0xF900))
         s[odd] = -4.0
-        return s
-
+        out[at] = s
+        return out
 
     def score(self, a: int, b: int) -> float:
         """``scores`` for one pair that isn't plain ASCII."""
@@ -232,6 +237,27 @@ def segments(badness: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, after - before) for s, e, before, after in stack]
 
 
+def segments_above(badness: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """The `segments` of a sum of at least ``least``.
+
+    But for ties no maximal segment crosses a place where the best sum that ends there is
+    0; only the stretches between such places that reach ``least`` are looked into.
+    """
+    sums = np.cumsum(badness)
+    best = sums - np.minimum.accumulate(np.minimum(sums - badness, sums))
+    rising = np.concatenate([[False], best > 0, [False]])
+    starts, ends = (np.nonzero(np.diff(rising.astype(np.int8)) == d)[0] for d in (1, -1))
+    if not len(starts):
+        return []
+    peaks = np.maximum.reduceat(best, starts)
+    return [
+        (a + x, a + y, total)
+        for a, z in zip(starts[peaks >= least].tolist(), ends[peaks >= least].tolist())
+        for x, y, total in segments(badness[a:z])
+        if total >= least
+    ]
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -243,6 +269,7 @@ class Repairer:
         self.model = model
         self.seen_characters = frozenset(map(chr, np.nonzero(model.single >= SEEN)[0].tolist()))
         self.pair: dict[str, float] = {}
+        self.readings: dict[tuple[str, bool], list[tuple[bytes, str, str, str, int]]] = {}
         self.verdicts: dict[tuple[str, str, str], tuple[float, str, tuple[str, str]] | None] = {}
 
     def runs(self, text: str, scores: np.ndarray | None = None, least: float = LEAST) -> list[tuple[int, int, float]]:
@@ -250,7 +277,7 @@ class Repairer:
         if len(text) < 2 or text.isascii():
             return []
         s = self.model.scores(_points(text)) if scores is None else scores
-        return [(a, b + 1, total) for a, b, total in segments(-0.5 - s) if total >= least]
+        return [(a, b + 1, total) for a, b, total in segments_above(-0.5 - s.astype(np.float64), least)]
 
     def _score(self, text: str) -> tuple[float, int]:
         """Sum of scores and number of pairs that aren't plain ASCII; pairs are remembered, as the texts here are short."""
@@ -325,15 +352,15 @@ class Repairer:
         got = self._reading(run, run.replace(_BAD, "") if _BAD in run else run, raw, wrong, meant)
         return self._gain(run, raw, wrong, meant, *got, self._score(left + got[0] + right), before) if got else None
 
-    def _try(self, run: str, left: str, right: str) -> tuple[float, str, tuple[str, str]] | None:
-        """The best inverse mapping of one run, if any is good enough."""
-        key = (run, left, right)
-        if key in self.verdicts:
-            return self.verdicts[key]
+    def _readings(self, run: str, latin: bool) -> list[tuple[bytes, str, str, str, int]]:
+        """(bytes, wrong, meant, new text, lost characters) of all ways to read a run; those of short runs are remembered."""
+        known = self.readings.get((run, latin))
+        if known is not None:
+            return known
         clean = run.replace(_BAD, "") if _BAD in run else run
         letters, tried, found = set(clean), set(), []
         # Beside Latin letters Cyrillic ones are as improbable as what is read.
-        meanings = [m for m in WRITTEN_IN if m not in _CYRILLIC] if _BESIDE_LATIN.search(left + run + right) else WRITTEN_IN
+        meanings = [m for m in WRITTEN_IN if m not in _CYRILLIC] if latin else WRITTEN_IN
         for wrong in READ_AS:
             raw = _as_bytes(clean, letters, wrong)
             # Encodings that agree on the run's characters differ in nothing that follows.
@@ -344,6 +371,18 @@ class Repairer:
                 got = self._reading(run, clean, raw, wrong, meant) if meant != wrong else None
                 if got:
                     found.append((raw, wrong, meant, *got))
+        if len(run) <= SHORT:
+            if len(self.readings) > REMEMBERED:
+                self.readings.clear()
+            self.readings[run, latin] = found
+        return found
+
+    def _try(self, run: str, left: str, right: str) -> tuple[float, str, tuple[str, str]] | None:
+        """The best inverse mapping of one run, if any is good enough."""
+        key = (run, left, right)
+        if key in self.verdicts:
+            return self.verdicts[key]
+        found = self._readings(run, bool(_BESIDE_LATIN.search(left + run + right)))
         best: tuple[float, str, tuple[str, str]] | None = None
         before, *values = self._scores([left + x + right for x in (run, *(f[3] for f in found))])
         for (raw, wrong, meant, new, lost), scored in zip(found, values):
@@ -463,10 +502,10 @@ def repair_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
             points, offsets = code_points(batch.column(1))
             scores = repairer.model.scores(points) if len(points) > 1 else np.zeros(0)
             # A text without an improbable segment has none to look into.
-            doubtful = worst(scores, offsets) >= LEAST
+            inspected = doubtful(scores, offsets)
             for i, t in enumerate(batch.column(1).to_pylist()):
                 a, b = offsets[i], max(offsets[i], offsets[i + 1] - 1)
-                bad, new = repairer.repair(t, scores[a:b]) if t and doubtful[i] else (False, t)
+                bad, new = repairer.repair(t, scores[a:b]) if i in inspected else (False, t)
                 flags.append(bad)
                 out.append(new)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags), pa.array(out, pa.string())], [key, text, "garbled", "restored"])

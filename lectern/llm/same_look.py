@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,10 +102,9 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = texts.buffers()[2]
     if data is None or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
-    begun = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-    return points, begun[offsets - offsets[0]]
+    raw = memoryview(data)[int(offsets[0]) : int(offsets[-1])]
+    points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le"), dtype=np.uint32)
+    return points, np.concatenate([[0], np.cumsum(np.asarray(pc.utf8_length(texts), dtype=np.int64))])
 
 
 def to_arrow(points: np.ndarray, offsets: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
