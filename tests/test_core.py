@@ -200,15 +200,15 @@ def test_index_maintenance(spark):
 
 
 def test_publication_is_all_or_nothing(spark, tmp_path):
-    p = store.Publication(str(tmp_path / "index"))
+    p = store.Publication(spark, str(tmp_path / "index"))
     df = spark.createDataFrame([(1,)], "x int")
     p.write({"t": df})
     df.write.parquet(str(tmp_path / "index" / "t" / "batch_id=unpublished"))
-    assert p.read(spark, "t").count() == 1
+    assert p.read("t").count() == 1
     p.write({"t": df})
-    assert p.read(spark, "t").count() == 2
+    assert p.read("t").count() == 2
     p.write({"t": df}, replace=True)
-    assert p.read(spark, "t").count() == 1
+    assert p.read("t").count() == 1
 
 
 def test_paths_stay_under_their_roots(tmp_path):
