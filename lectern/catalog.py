@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import identity, text as T
 from lectern.operators import align, dense, fusion, intervals, lexical, reuse, visibility
 from lectern.plans import library, reports, search
-from lectern.session import bounded, cut
+from lectern.session import bounded, cut, written
 from lectern.sources import parse, store
 from lectern.sources.tables import delivered_once, load, spread
 from lectern.streaming import jobs
@@ -450,7 +450,7 @@ def _l06(spark, d):
     return versions(spark, d).orderBy(F.desc("created_at"), "version_id").offset(20).limit(50).select("document_id", F.col("version_no").cast("long").alias("version_no"), "title")
 
 
-@query("c09_shelves", f"WITH {V} SELECT source_id, count(*) AS n, array_to_string(list(coalesce(title, '') ORDER BY coalesce(title, ''), document_id), '; ') AS titles FROM v WHERE is_current GROUP BY 1")
+@query("c09_shelves", f"WITH {V} SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(title, ''), document_id)::BIGINT AS place, coalesce(title, '') AS title, document_id FROM v WHERE is_current")
 def _c09(spark, d):
     return library.shelves(versions(spark, d))
 
@@ -478,7 +478,7 @@ _BM25 = f"""{B}, {Q}, {_TF}, dl AS (SELECT chunk_id, sum(tf) AS dl FROM tf GROUP
 
 @query("f16_bm25", f"WITH {_BM25} SELECT query_id, chunk_id, score, r::BIGINT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM h) WHERE r <= 10")
 def _f16(spark, d):
-    tf = cut(lexical.postings(_chunk_texts(spark, d)))
+    tf = written(lexical.postings(_chunk_texts(spark, d)))
     hits = lexical.bm25(lexical.query_terms(requests(spark, d).where("query IS NOT NULL")), tf).withColumn("score", F.round("score", 6))
     return lexical.top(hits, 10).withColumn("rank", F.col("rank").cast("long"))
 
@@ -587,7 +587,7 @@ def _a01(spark, d):
 @query("a02_stop_list", f"""WITH {_PRINTS}, n AS (SELECT count(DISTINCT doc_id) AS n FROM e)
     SELECT fingerprint, count(DISTINCT doc_id) AS df FROM e, n GROUP BY fingerprint, n HAVING n >= 3 AND count(DISTINCT doc_id) > greatest(1, floor(n * 0.02))""")
 def _a02(spark, d):
-    index = _prints(spark, d).select(F.col("doc_id").alias("document_id"), F.explode("f").alias("fingerprint"))
+    index = written(_prints(spark, d).select(F.col("doc_id").alias("document_id"), F.explode("f").alias("fingerprint")))
     return reuse.stop_list(index, 0.02)
 
 
@@ -596,10 +596,10 @@ def _a02(spark, d):
     p AS (SELECT doc_id, fp, fp IN (SELECT fp FROM st) AS stop FROM f WHERE doc_id % 100 = 0),
     k AS (SELECT doc_id, fp FROM (SELECT *, sum(CASE WHEN stop THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id) AS free FROM p) WHERE NOT stop OR free = 0),
     s AS (SELECT k.doc_id AS query_id, f.doc_id AS document_id, count(*) AS shared FROM k JOIN f USING (fp) WHERE k.doc_id <> f.doc_id GROUP BY 1, 2)
-    SELECT query_id, document_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY document_id) AS r FROM s) WHERE r <= 50""")
+    SELECT query_id, document_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, document_id) AS r FROM s) WHERE r <= 50""")
 def _r04(spark, d):
     """Checked documents: those whose id is divisible by 100, against all."""
-    index = _prints(spark, d).select(F.col("doc_id").alias("document_id"), F.explode("f").alias("fingerprint"))
+    index = written(_prints(spark, d).select(F.col("doc_id").alias("document_id"), F.explode("f").alias("fingerprint")))
     probes = index.where("document_id % 100 = 0").withColumn("query_id", F.col("document_id"))
     return reuse.candidates(probes, index)
 
@@ -608,7 +608,7 @@ def _r04(spark, d):
 def _r11(spark, d):
     """Aligned passages of the checked documents with all that share five fingerprints or more."""
     texts = spread(load(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL"))
-    prints = cut(reuse.with_fingerprints(texts.withColumnRenamed("doc_id", "document_id"), "text", "f", kernel="md5"))
+    prints = written(reuse.with_fingerprints(texts.withColumnRenamed("doc_id", "document_id"), "text", "f", kernel="md5"))
     index = prints.select("document_id", F.explode("f").alias("fingerprint"))
     probes = index.where("document_id % 100 = 0").withColumn("query_id", F.col("document_id"))
     asked = reuse.used(probes, index).groupBy("query_id").agg(F.collect_set("fingerprint").alias("f"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import _BM25, _ISLANDS, B, Q, S, V, _asked_blocks, _chunk_texts, _less, _strip, blocks, query, requests, sections, versions
 from lectern.functions import highlights, text as T
-from lectern.operators import intervals, projection, reuse
+from lectern.operators import intervals, lexical, projection, reuse
 from lectern.plans import library, metadata, reading, reports, search
+from lectern.session import written
 from lectern.sources import parse, store
 from lectern.sources.tables import delivered_once, load, spread
 
@@ -56,10 +57,7 @@ def _m19(spark, d):
     c AS (SELECT query_id, count(*) AS n FROM k GROUP BY 1) SELECT query_id, coalesce(n, 0)::BIGINT AS n_results, coalesce(n, 0)::BIGINT AS n_sparse, 0::BIGINT AS n_dense FROM q LEFT JOIN c USING (query_id)""")
 def _c04(spark, d):
     """What the lexical retriever alone gives each request."""
-    from lectern.operators import lexical
-    from lectern.session import cut
-
-    tf = cut(lexical.postings(_chunk_texts(spark, d)))
+    tf = written(lexical.postings(_chunk_texts(spark, d)))
     hits = lexical.bm25(lexical.query_terms(requests(spark, d).where("query IS NOT NULL")), tf).withColumn("score", F.round("score", 6))
     results = lexical.top(hits, 10).withColumn("contributions", F.create_map(F.lit("sparse"), F.col("rank")))
     return search.trace(requests(spark, d), results).select("query_id", "n_results", "n_sparse", "n_dense")
@@ -355,10 +353,8 @@ def _u01(spark, d):
     SELECT query_id, probe_chunk, document_id, chunk_index, shared FROM (SELECT *, row_number() OVER (PARTITION BY query_id, probe_chunk ORDER BY shared DESC, document_id, chunk_index) AS r FROM sh) WHERE r <= 50""")
 def _l05(spark, d):
     """Of each chunk of the checked documents the chunks of others that share most fingerprints with it, 50 at most."""
-    from lectern.session import cut
-
     f = projection.with_chunk_fingerprints(_chunks(spark, d), "md5", "f").select(F.col("doc_id").alias("document_id"), F.col("chunk_index").cast("long").alias("chunk_index"), F.explode("f").alias("fingerprint"))
-    return reuse.chunk_candidates(cut(f), F.col("document_id") % 100 == 0)
+    return reuse.chunk_candidates(written(f), F.col("document_id") % 100 == 0)
 
 
 @query("f29_policy", rf"""WITH x AS (SELECT doc_id, text, lower(split_part(coalesce(lang, 'auto'), '-', 1)) AS base, regexp_replace(text, '\s', '', 'g') AS solid, length(regexp_replace(text, '[\s\p{{P}}\p{{Z}}]', '', 'g')) AS n FROM documents),

@@ -11,9 +11,9 @@ from lectern.session import parallelism
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, text: str = "text", folded: bool = False) -> DataFrame:
-    """(chunk_id, term, tf): rows of ``chunks`` are counted as they come."""
-    return chunks.select("chunk_id", F.explode(T.tokens(F.col(text), folded)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+def postings(chunks: DataFrame, text: str = "text", folded: bool = False, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, *scope, term, tf): rows of ``chunks`` are counted as they come; ``scope`` are columns that a chunk has one value of."""
+    return chunks.select("chunk_id", *scope, F.explode(T.tokens(F.col(text), folded)).alias("term")).groupBy("chunk_id", *scope, "term").agg(F.count("*").alias("tf"))
 
 
 def lengths(tf: DataFrame) -> DataFrame:
@@ -26,22 +26,23 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def query_terms(queries: DataFrame, query: str = "query", folded: bool = False) -> DataFrame:
-    """(query_id, term): the distinct terms of every query."""
-    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col(query), folded))).alias("term"))
+def query_terms(queries: DataFrame, query: str = "query", folded: bool = False, scope: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, *scope, term): the distinct terms of every query."""
+    return queries.select("query_id", *scope, F.explode(F.array_distinct(T.tokens(F.col(query), folded))).alias("term"))
 
 
-def bm25(terms: DataFrame, tf: DataFrame, mode: str = "plus-one") -> DataFrame:
+def bm25(terms: DataFrame, tf: DataFrame, mode: str = "plus-one", scope: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, chunk_id, score): every chunk that shares a term with a query.
 
     Only postings of asked terms are joined: the stated queries' distinct terms
     select them first, so the index side shrinks before anything is multiplied.
     ``mode``: how rarity counts; ``clamped`` gives common terms almost nothing.
+    ``scope`` (a tenant, say) must agree, so that a query's terms never meet
+    the postings of another; rarity is counted over all.
     """
     dl = lengths(tf)
     corpus = dl.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))
-    asked = terms.select("term").distinct()
-    hits = tf.join(asked, "term", "left_semi")
+    hits = tf.join(terms.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     odds = (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
     idf = F.log1p(odds) if mode == "plus-one" else F.greatest(F.log(odds), F.lit(1e-6))
@@ -50,8 +51,8 @@ def bm25(terms: DataFrame, tf: DataFrame, mode: str = "plus-one") -> DataFrame:
     part = F.col("_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
     # One row per (chunk, term) is weighed before queries multiply it.  Laid out by chunk, with
     # all partitions kept, what the queries multiply is summed where it is, without a shuffle.
-    weights = scored.select("chunk_id", "term", part.alias("_part")).repartition(parallelism(tf.sparkSession), "chunk_id")
-    return terms.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum("_part").alias("score"))
+    weights = scored.select("chunk_id", *scope, "term", part.alias("_part")).repartition(parallelism(tf.sparkSession), "chunk_id")
+    return terms.join(weights, [*scope, "term"]).groupBy("query_id", "chunk_id").agg(F.sum("_part").alias("score"))
 
 
 def top(hits: DataFrame, k: int | str, by: str = "query_id", score: str = "score", key: str = "chunk_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.intervals import numbered
 from lectern.operators.positions import following
 from lectern.sources.tables import delivered_once
 
@@ -34,10 +35,9 @@ def version_lists(versions: DataFrame) -> DataFrame:
 
 
 def shelves(versions: DataFrame) -> DataFrame:
-    """(source_id, n, titles): current documents by source, in order of title and id."""
-    current = versions.where("is_current")
-    rows = F.array_sort(F.collect_list(F.struct(F.coalesce("title", F.lit("")).alias("t"), "document_id")))
-    return current.groupBy("source_id").agg(F.count("*").alias("n"), F.array_join(F.transform(rows, lambda r: r["t"]), "; ").alias("titles"))
+    """(source_id, place, title, document_id): current documents by source, in order of title and id, on a shelf of any length."""
+    current = versions.where("is_current").select("source_id", F.coalesce("title", F.lit("")).alias("title"), "document_id")
+    return numbered(current, ["source_id"], ["title", "document_id"], "place", first=1)
 
 
 def validity(versions: DataFrame) -> DataFrame:

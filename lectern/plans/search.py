@@ -10,7 +10,7 @@ from lectern.operators import lexical
 from lectern.operators.dense import nearest_visible, with_hash_embedding
 from lectern.operators.fusion import coverage_score, reciprocal_rank
 from lectern.operators.visibility import acl_overlap, heading_contains
-from lectern.session import cut
+from lectern.session import written
 
 OVERFETCH = 4
 DIM = 128
@@ -34,8 +34,8 @@ def allowed_pairs(hits: DataFrame, requests: DataFrame, chunks: DataFrame) -> Da
 def sparse(requests: DataFrame, chunks: DataFrame, tf: DataFrame, folded: bool = False) -> DataFrame:
     """BM25 of all variants' terms together, one search a request."""
     joined = variants(requests).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "variant"))), lambda v: v["variant"]), " ").alias("query"))
-    terms = lexical.query_terms(joined, folded=folded)
-    return allowed_pairs(lexical.bm25(terms, tf), requests, chunks)
+    terms = lexical.query_terms(joined.join(requests.select("query_id", "tenant_id"), "query_id"), folded=folded, scope=("tenant_id",))
+    return allowed_pairs(lexical.bm25(terms, tf, scope=("tenant_id",)), requests, chunks)
 
 
 def dense(requests: DataFrame, chunks: DataFrame, k: int, folded: bool = False) -> DataFrame:
@@ -43,7 +43,7 @@ def dense(requests: DataFrame, chunks: DataFrame, k: int, folded: bool = False)
     asked = with_hash_embedding(variants(requests), "variant", "dense", DIM, folded).select("query_id", "dense")
     asked = asked.join(requests.select("query_id", "tenant_id", "acl", "current_only"), "query_id")
     # Each block of requests reads the vectors again, so they are written once.
-    stored = cut(with_hash_embedding(chunks.select("chunk_id", "tenant_id", "acl", "is_current", "text"), "text", "dense", DIM, folded).drop("text"))
+    stored = written(with_hash_embedding(chunks.select("chunk_id", "tenant_id", "acl", "is_current", "text"), "text", "dense", DIM, folded).drop("text"))
     return nearest_visible(asked, stored, k, DIM).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
 
 
@@ -77,8 +77,9 @@ def hybrid(requests: DataFrame, chunks: DataFrame, heading: str | None = None, w
     """
     requests = checked(requests).where("reason IS NULL")
     limits = requests.select("query_id", "mode", (F.col("top_k") * OVERFETCH).alias("_limit"))
-    # The index is a written table: tokens are made once, whatever reads it.
-    tf = cut(lexical.postings(chunks, folded=folded))
+    # Chunks and index are written tables: joined and taken apart once, whatever columns are read of them.
+    chunks = written(chunks)
+    tf = written(lexical.postings(chunks, folded=folded, scope=("tenant_id",)))
 
     def best(hits: DataFrame, *modes: str) -> DataFrame:
         return lexical.top(hits.join(limits.where(F.col("mode").isin(*modes)), "query_id"), "_limit").select("query_id", "chunk_id", "score")
