@@ -120,25 +120,31 @@ def weighed(documents: DataFrame, text: str) -> DataFrame:
 
 
 def count_pairs(documents: DataFrame, text: str) -> DataFrame:
-    """(slot, n): slots below BUCKETS are pairs, those from there on single characters; over all distinct texts."""
+    """(slot, n, once): slots below BUCKETS are pairs, those from there on single characters; over all rows, and each distinct text once."""
+
+    def add(total: np.ndarray, points: np.ndarray, inner: np.ndarray, weight: np.ndarray | None) -> None:
+        total[BUCKETS:] += np.bincount(points, weight, minlength=LIMIT)
+        total[:BUCKETS] += np.bincount(_hash(points[:-1], points[1:])[inner], None if weight is None else weight[:-1][inner], minlength=BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS + LIMIT, dtype=np.float64)
+        total, extra = np.zeros(BUCKETS + LIMIT, dtype=np.float64), np.zeros(BUCKETS + LIMIT, dtype=np.float64)
         for batch in batches:
             points, offsets = code_points(batch.column(0))
             if not len(points):
                 continue
             points = _plain(points)
-            weight = np.repeat(np.asarray(batch.column(1)), np.diff(offsets))
-            total[BUCKETS:] += np.bincount(points, weight, minlength=LIMIT)
             inner = np.ones(len(points) - 1, dtype=bool)
             cuts = offsets[(offsets > 0) & (offsets < len(points))]
             inner[cuts - 1] = False
-            total[:BUCKETS] += np.bincount(_hash(points[:-1], points[1:])[inner], weight[:-1][inner], minlength=BUCKETS)
+            add(total, points, inner, None)
+            weight = np.asarray(batch.column(1))
+            if (weight < 1).any():
+                add(extra, points, inner, np.repeat(1 - weight, np.diff(offsets)))
         slots = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots]), pa.array((total - extra)[slots])], ["slot", "n", "once"])
 
-    return weighed(documents, text).mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = weighed(documents, text).mapInArrow(run, "slot int, n double, once double")
+    return counted.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("once").alias("once"))
 
 
 def doubtful(scores: np.ndarray, offsets: np.ndarray) -> set[int]:
@@ -155,15 +161,19 @@ def doubtful(scores: np.ndarray, offsets: np.ndarray) -> set[int]:
 
 
 class PairModel:
-    """Shrunk mutual information of adjacent characters."""
+    """Shrunk mutual information of adjacent characters.
+
+    A pair is as probable as its share of all rows or its share of the distinct
+    texts, whichever is less: a text can't become normal by being copied, nor
+    by standing among few texts that are.
+    """
 
-    def __init__(self, slots: np.ndarray, counts: np.ndarray) -> None:
+    def __init__(self, slots: np.ndarray, counts: np.ndarray, once: np.ndarray) -> None:
         pair = slots < BUCKETS
-        total = max(1, int(counts[pair].sum()))
-        self.table = np.zeros(BUCKETS, dtype=np.float32)
-        self.table[slots[pair]] = counts[pair] / total
-        self.single = np.zeros(LIMIT, dtype=np.float32)
-        self.single[slots[~pair] - BUCKETS] = counts[~pair] / total
+        self.table, self.single = np.zeros(BUCKETS, dtype=np.float32), np.zeros(LIMIT, dtype=np.float32)
+        shares = [n / max(1.0, n[pair].sum()) for n in (counts, once)]
+        self.table[slots[pair]] = np.minimum(*shares)[pair]
+        self.single[slots[~pair] - BUCKETS] = shares[0][~pair]
 
     def scores(self, points: np.ndarray) -> np.ndarray:
         """Score of every adjacent pair; a pair of ASCII characters has a fixed, slightly probable one."""
@@ -485,13 +495,13 @@ class Repairer:
 def repair_documents(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, garbled, restored): ``restored`` is the text with all damage undone that can be.
 
-    The pair statistics are over all distinct texts of ``documents``, so that
-    no text becomes probable by being copied; what reaches the driver is at
-    most BUCKETS + 0x110000 counts, whatever the corpus.  Null
+    The pair statistics are over all rows and over all distinct texts of
+    ``documents``, so that no text becomes probable by being copied; what
+    reaches the driver is at most BUCKETS + 0x110000 counts, whatever the corpus.  Null
     and empty texts aren't garbled and stay as they are.
     """
     counted = count_pairs(documents, text).toArrow()
-    model = documents.sparkSession.sparkContext.broadcast((np.asarray(counted["slot"]).astype(np.int32), np.asarray(counted["n"])))
+    model = documents.sparkSession.sparkContext.broadcast((np.asarray(counted["slot"]).astype(np.int32), np.asarray(counted["n"]), np.asarray(counted["once"])))
     rows = documents.select(key, text)
     schema = T.StructType([*rows.schema.fields, T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType())])
 
