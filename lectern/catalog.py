@@ -275,11 +275,16 @@ def _p08(spark, d):
 
 
 @query("j01_payload", f"""WITH {B}, {V}, {S}, u AS (SELECT DISTINCT source_id, uri FROM sources)
-    SELECT b.id AS chunk_id, tenant_id, title, kind, uri, array_to_string(heading_path, ' > ') AS path, length(coalesce(text, ''))::BIGINT AS n
+    SELECT b.id AS chunk_id, v.tenant_id, v.document_id, v.version_id, b.source_id, title, kind, uri, array_to_string(heading_path, ' > ') AS path, length(coalesce(text, ''))::BIGINT AS n, md5(coalesce(text, '')) AS digest,
+           b.page::BIGINT AS page, b.char_start::BIGINT AS char_start, b.char_end::BIGINT AS char_end, is_current, array_to_string(acl, ',') AS acl
     FROM b JOIN v USING (version_id) LEFT JOIN s ON b.section_id = s.id LEFT JOIN u ON b.source_id = u.source_id""")
 def _j01(spark, d):
     c = library.chunks(spark, d)
-    return c.select("chunk_id", "tenant_id", "title", "kind", "uri", F.array_join("heading_path", " > ").alias("path"), F.length("text").cast("long").alias("n"))
+    numbers = [F.col(x).cast("long").alias(x) for x in ("page", "char_start", "char_end")]
+    return c.select(
+        "chunk_id", "tenant_id", "document_id", "version_id", "source_id", "title", "kind", "uri", F.array_join("heading_path", " > ").alias("path"), F.length("text").cast("long").alias("n"),
+        F.md5(F.encode("text", "UTF-8")).alias("digest"), *numbers, "is_current", F.array_join("acl", ",").alias("acl"),
+    )
 
 
 @query("j02_library", f"WITH {V}, n AS (SELECT document_id, count(DISTINCT version_id) AS n_versions FROM v GROUP BY 1), c AS (SELECT document_id, count(DISTINCT id) AS n_chunks FROM blocks GROUP BY 1) SELECT document_id, n_versions, coalesce(n_chunks, 0) AS n_chunks FROM n LEFT JOIN c USING (document_id)")
@@ -309,11 +314,12 @@ def _j12(spark, d):
 # --- aggregates, windows, sets --------------------------------------------------------------------
 
 
-@query("a04_readiness", f"""WITH {V} SELECT tenant_id, count(DISTINCT document_id) AS total, count(DISTINCT CASE WHEN is_current AND status = 'indexed' THEN document_id END) AS ready,
-    count(DISTINCT CASE WHEN status = 'failed' THEN document_id END) AS failed FROM v GROUP BY 1""")
+@query("a04_readiness", f"""WITH {V}, x AS (SELECT tenant_id, document_id, bool_or(is_current AND status = 'indexed') AS ready, bool_or(status = 'failed') AS failed FROM v GROUP BY 1, 2)
+    SELECT tenant_id, count(*) AS total, count(*) FILTER (ready) AS ready, count(*) FILTER (failed AND NOT ready) AS failed, count(*) FILTER (NOT ready AND NOT failed) AS pending FROM x GROUP BY 1""")
 def _a04(spark, d):
-    one = lambda c: F.countDistinct(F.when(F.expr(c), F.col("document_id")))
-    return versions(spark, d).groupBy("tenant_id").agg(F.countDistinct("document_id").alias("total"), one("is_current AND status = 'indexed'").alias("ready"), one("status = 'failed'").alias("failed"))
+    """Documents that are ready, those of the others that failed, and what is left."""
+    x = versions(spark, d).groupBy("tenant_id", "document_id").agg(F.bool_or(F.expr("is_current AND status = 'indexed'")).alias("r"), F.bool_or(F.expr("status = 'failed'")).alias("f"))
+    return x.groupBy("tenant_id").agg(F.count("*").alias("total"), F.count_if("r").alias("ready"), F.count_if(F.expr("f AND NOT r")).alias("failed"), F.count_if(F.expr("NOT r AND NOT f")).alias("pending"))
 
 
 @query("a08_states", f"WITH {V} SELECT tenant_id, status, count(*) AS n FROM v GROUP BY 1, 2")
