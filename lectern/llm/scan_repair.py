@@ -452,7 +452,9 @@ def decided(cuts: DataFrame, counts: DataFrame) -> DataFrame:
 def cut_between(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """(id, cut) of blocks that end in a half word, with the first word of the next block of the document's body."""
     body = rows.where("body AND document_id IS NOT NULL AND char_start IS NOT NULL").select("document_id", "char_start", "id", "tail", "mark", "head")
-    body = body.join(lines.where("whole").select("id").distinct(), "id", "left_anti")
+    # Only documents with a half word at the end of some block have anything to look up.
+    halved = bounded(body.where("tail IS NOT NULL").select("document_id").distinct())
+    body = body.join(halved, "document_id", "left_semi").join(lines.where("whole").select("id").distinct(), "id", "left_anti")
     followed = following(body, ["document_id"], ["char_start", "id"], "head", "after").where("tail IS NOT NULL AND (after IS NOT NULL OR mark IN ('¬', '\xad'))")
     return followed.select("id", F.concat_ws("\x1f", "tail", "mark", F.lit(""), F.coalesce("after", F.lit(""))).alias("cut"))
 
