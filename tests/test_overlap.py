@@ -52,3 +52,20 @@ def test_bm25_of_an_index_equals_the_join_and_no_pair_is_a_row(spark):
     # Every chunk shares a word with every query; a task returns five of them.
     pairs = overlap.scored(stored.select("number", "terms"), overlap.Queries(np.arange(61), np.zeros(60, np.int32), np.full(60, 5)), {"number": "long"}, every)
     assert pairs.count() <= 60 * 5 * spark.sparkContext.defaultParallelism
+
+
+def test_f16_keeps_ten_chunks_with_ties_by_id(spark, tmp_path):
+    from lectern.catalog import QUERIES
+
+    # Copies under many ids, delivered twice, that all tie.
+    rows = [(f"b{i:03}", "lamp oil" if i % 2 else "lamp") for i in range(200)] * 2
+    spark.createDataFrame(rows, "id string, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    asked = [(f"q{i}", "lamp" if i else None, "t", 10, "hybrid", ["public"], True, True) for i in range(30)]
+    spark.createDataFrame(asked, "query_id string, query string, tenant_id string, top_k int, mode string, acl array<string>, rerank boolean, current_only boolean").write.parquet(f"{tmp_path}/requests.parquet")
+    found = QUERIES["f16_bm25"](spark, str(tmp_path))
+    # 6,000 pairs of a request and a chunk: none is a row of a join.
+    assert "MapInArrow" in found._jdf.queryExecution().toString()
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.query_id, {})[x.rank] = x.chunk_id
+    assert len(got) == 29 and all([r[i] for i in range(1, 11)] == [f"b{j:03}" for j in range(0, 20, 2)] for r in got.values())
