@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import lexical, overlap
+from lectern.operators import lexical, overlap, reuse
 
 
 def test_best_items_over_blocks_equal_brute_force():
@@ -69,3 +69,35 @@ def test_f16_keeps_ten_chunks_with_ties_by_id(spark, tmp_path):
     for x in found.collect():
         got.setdefault(x.query_id, {})[x.rank] = x.chunk_id
     assert len(got) == 29 and all([r[i] for i in range(1, 11)] == [f"b{j:03}" for j in range(0, 20, 2)] for r in got.values())
+
+
+def test_best_shared_counts_documents_and_leaves_out_the_own(spark):
+    r = random.Random(8)
+    docs = {d: [sorted(r.sample(range(100, 160), r.randrange(0, 14))) + ([1] if d % 2 else []) for _ in range(r.randrange(1, 5))] for d in range(60)}
+    docs[0], docs[10] = [[1], [1, 1_000]], [[], []]
+    rows = [(d, i, f) for d, x in docs.items() for i, f in enumerate(x)]
+    prints = spark.createDataFrame(rows, "document_id long, chunk_index long, f array<bigint>").coalesce(1)
+    got = sorted(tuple(x) for x in reuse.best_shared(prints.where("document_id % 10 = 0"), prints, 4).collect())
+    held = {d: {f for x in fs for f in x} for d, fs in docs.items()}
+    limit = max(1, sum(map(bool, held.values())) // 4)
+    stop = {f for x in held.values() for f in x if sum(f in y for y in held.values()) > limit}
+    assert 1 in stop
+    want = []
+    for d, i, f in rows:
+        if d % 10 == 0 and f:
+            use = set(f) - stop or set(f)
+            shared = sorted((-len(use & set(g)), e, j) for e, j, g in rows if e != d and use & set(g))
+            want += [(d, i, e, j, -n) for n, e, j in shared[:4]]
+    assert got == sorted(want)
+
+
+def test_md5_of_all_grams_at_once(spark):
+    texts = ["", "abcd", "abcde", "straße 向量的索引 🙂🙃🙂🙃🙂🙃 naïve", "x" * 40, "é𝔘\x00\n" * 9]
+    got = reuse.md5_grams(texts, 5)
+    assert [g.tolist() for g in got] == [[reuse._md5(t[i : i + 5].encode()) for i in range(len(t) - 4)] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for k, w in ((5, 8), (3, 5), (4, 1)):
+        for x in reuse.with_fingerprints(df, "text", "f", "md5", k, w).collect():
+            t = x.text.lower().replace("\n", " ").strip(" ")
+            h = [reuse._md5(t[i : i + k].encode()) for i in range(len(t) - k + 1)]
+            assert x.f == sorted({min(h[i : i + w]) for i in range(max(1, len(h) - w + 1))} if h else ())
