@@ -101,3 +101,17 @@ def test_md5_of_all_grams_at_once(spark):
             t = x.text.lower().replace("\n", " ").strip(" ")
             h = [reuse._md5(t[i : i + k].encode()) for i in range(len(t) - k + 1)]
             assert x.f == sorted({min(h[i : i + w]) for i in range(max(1, len(h) - w + 1))} if h else ())
+
+
+def test_r04_of_a_common_text_keeps_what_shares_most(spark, tmp_path):
+    from lectern.catalog import QUERIES
+
+    # One text in all documents: its fingerprints are stopped, but the probe has no others.
+    rows = [(i, "the same sentence in every document of the table" + ("" if i % 2 else " and some more words")) for i in range(1, 140)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["r04_candidates"](spark, str(tmp_path))
+    assert found.columns == ["query_id", "document_id", "shared"]
+    # Fingerprints of the longer text are in half of the documents, which is too many as well.
+    got = sorted(tuple(x) for x in found.collect())
+    assert [x[:2] for x in got] == [(100, i) for i in range(2, 102, 2) if i != 100] + [(100, 102)] and len({x[2] for x in got}) == 1
+    assert "Join" not in found._jdf.queryExecution().toString().split("MapInArrow")[-1]
