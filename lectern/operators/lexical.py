@@ -89,18 +89,18 @@ def tokenized(df: DataFrame, text: str, out: str, folded: bool = False) -> DataF
 
 
 def index(chunks: DataFrame, text: str = "text", folded: bool = False, keep: tuple[str, ...] = (), scope: tuple[str, ...] = ()) -> DataFrame:
-    """(number, chunk_id, *keep, terms) of the distinct ``chunks``, written.
+    """(number, chunk_id, *keep, terms) of the distinct ``chunks``, written; ``keep`` may name the text too.
 
     Numbers ascend with (scope, chunk_id), and so do the table's parts: a query
     of one scope meets few of them, and ties are decided by number.
     """
     parts = parallelism(chunks.sparkSession)
-    placed = chunks.select("chunk_id", *keep, text).repartitionByRange(parts, *scope, "chunk_id").distinct().sortWithinPartitions(*scope, "chunk_id")
-    return written(tokenized(placed.select(F.monotonically_increasing_id().alias("number"), "chunk_id", *keep, text), text, "terms", folded))
+    placed = chunks.select("chunk_id", *dict.fromkeys((*keep, text))).repartitionByRange(parts, *scope, "chunk_id").distinct().sortWithinPartitions(*scope, "chunk_id")
+    return written(tokenized(placed.select(F.monotonically_increasing_id().alias("number"), "chunk_id", *keep, F.col(text).alias("_text")), "_text", "terms", folded))
 
 
-def best(queries: DataFrame, stored: DataFrame, k: int, mode: str = "plus-one", visible: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the best ``k`` of each of ``queries`` (query_id, terms) by BM25 in an `index`, ties by chunk.
+def best(queries: DataFrame, stored: DataFrame, k: int, mode: str = "plus-one", visible: bool = False, named: bool = True) -> DataFrame:
+    """(query_id, chunk_id, or the number if not ``named``, score, rank): the best ``k`` of each of ``queries`` (query_id, terms) by BM25 in an `index`, ties by chunk.
 
     As `top` of `bm25`, scores to six digits, without a row for every chunk
     that shares a term.  ``visible``: queries (with tenant_id, acl,
@@ -147,7 +147,10 @@ def best(queries: DataFrame, stored: DataFrame, k: int, mode: str = "plus-one",
     scan = stored.select("number", "terms", *(("tenant_id", "acl", "is_current") if visible else ()))
     hits = overlap.scored(scan, overlap.Queries(starts, numbers, limits, audience=audience), {"number": "long"}, rows_of)
     names = overlap.table_of(spark, _query=pa.array(np.arange(asked.num_rows, dtype=np.int32)), query_id=asked["query_id"].combine_chunks(), _limit=pa.array(limits))
-    return overlap.ranked(hits, names if visible else k, "number").join(names.drop("_limit"), "_query").join(stored.select("number", "chunk_id"), "number").select("query_id", "chunk_id", "score", "rank")
+    found = overlap.ranked(hits, names if visible else k, "number").join(names.drop("_limit"), "_query")
+    if not named:
+        return found.select("query_id", "number", "score", "rank")
+    return found.join(stored.select("number", "chunk_id"), "number").select("query_id", "chunk_id", "score", "rank")
 
 
 def top(hits: DataFrame, k: int | str, by: str = "query_id", score: str = "score", key: str = "chunk_id") -> DataFrame:

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from lectern.operators.intervals import numbered
 from lectern.operators.positions import following
-from lectern.sources.tables import delivered_once
+from lectern.session import bounded
+from lectern.sources.tables import delivered_once, load
 
 
-def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks with what search needs of their version, section and source: one denormalized row each."""
-    b = delivered_once(spark, folder, "blocks", "id", "document_id", "version_id", "source_id", "kind", "text", "section_id", "page", "char_start", "char_end")
+def chunks(spark: SparkSession, folder: str, once: bool = True) -> DataFrame:
+    """Blocks with what search needs of their version, section and source: one denormalized row each.
+
+    Without ``once`` a repeated delivery has a row of its own, for plans that
+    count distinct rows themselves.
+    """
+    b = (delivered_once if once else load)(spark, folder, "blocks", "id", "document_id", "version_id", "source_id", "kind", "text", "section_id", "page", "char_start", "char_end")
     v = delivered_once(spark, folder, "versions", "version_id", "tenant_id", "title", "acl", "is_current")
     s = delivered_once(spark, folder, "sections", "id", "heading_path").select(F.col("id").alias("section_id"), "heading_path")
     u = delivered_once(spark, folder, "sources", "source_id", "uri")
+    # Texts are shuffled only by versions or sections that are too many to be broadcast.
+    v, s = bounded(v), bounded(s)
     joined = b.withColumnRenamed("id", "chunk_id").join(v, "version_id").join(s, "section_id", "left").join(u, "source_id", "left")
     return joined.withColumn("text", F.coalesce("text", F.lit("")))
 

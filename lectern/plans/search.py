@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import lexical
-from lectern.operators.dense import nearest_visible, with_hash_embedding
+from lectern.operators.dense import best_visible, nearest_visible, with_hash_embedding
 from lectern.operators.fusion import coverage_score, reciprocal_rank
 from lectern.operators.visibility import acl_overlap, heading_contains
-from lectern.session import written
+from lectern.session import parallelism, written
 
 OVERFETCH = 4
 DIM = 128
@@ -76,22 +76,22 @@ def hybrid(requests: DataFrame, chunks: DataFrame, heading: str | None = None, w
     heading_path, page, uri; with ``analyzed`` their stored tokens are used).
     """
     requests = checked(requests).where("reason IS NULL")
-    limits = requests.select("query_id", "mode", (F.col("top_k") * OVERFETCH).alias("_limit"))
-    # Chunks and index are written tables: joined and taken apart once, whatever columns are read of them.
-    chunks = written(chunks)
-    tf = written(lexical.postings(chunks, folded=folded, scope=("tenant_id",)))
-
-    def best(hits: DataFrame, *modes: str) -> DataFrame:
-        return lexical.top(hits.join(limits.where(F.col("mode").isin(*modes)), "query_id"), "_limit").select("query_id", "chunk_id", "score")
-
-    lexical_hits = best(sparse(requests.where("mode <> 'dense'"), chunks, tf, folded), "hybrid", "sparse")
-    most = (requests.agg(F.max("top_k")).first()[0] or 1) * OVERFETCH
-    vector_hits = best(dense(requests.where("mode <> 'sparse'"), chunks, most, folded), "hybrid", "dense")
+    # A chunk is taken apart and written once, in order of tenant and id: a request meets few parts of the index.
+    stored = [c for c in ("analyzed",) if c in chunks.columns]
+    index = lexical.index(chunks, folded=folded, keep=("tenant_id", "acl", "is_current", "text", "heading_path", "page", "uri", *stored), scope=("tenant_id",))
+    asked = requests.select("query_id", "query", "tenant_id", "acl", "current_only", "mode", (F.col("top_k") * OVERFETCH).alias("_limit"))
+    each = asked.withColumn("variant", F.explode(T.rewrite(F.col("query"))))
+    every = asked.withColumn("terms", T.tokens(F.array_join(T.rewrite(F.col("query")), " "), folded))
+    most = (asked.agg(F.max("_limit")).first()[0]) or OVERFETCH
+    lexical_hits = lexical.best(every.where("mode <> 'dense'"), index, most, visible=True, named=False)
+    vector_hits = best_visible(each.where("mode <> 'sparse'").withColumn("terms", T.tokens(F.col("variant"), folded)), index, DIM)
     runs = lexical_hits.withColumn("retriever", F.lit("sparse")).unionByName(vector_hits.withColumn("retriever", F.lit("dense")))
-    fused = lexical.top(reciprocal_rank(runs).join(limits, "query_id"), "_limit").drop("rank", "mode", "_limit")
-    # Only the ids were ranked; the texts are fetched for what is left.
-    stored = ["analyzed"] if "analyzed" in chunks.columns else []
-    cited = fused.join(chunks.select("chunk_id", "text", "heading_path", "page", "uri", *stored), "chunk_id")
+    # Numbers are in order of the ids.  A request's hits meet once; ranks and fusion are made where they are.
+    met = runs.withColumnRenamed("number", "chunk_id").repartition(parallelism(chunks.sparkSession), "query_id")
+    limits = asked.select("query_id", "_limit")
+    fused = lexical.top(reciprocal_rank(met).join(limits, "query_id"), "_limit").select("query_id", F.col("chunk_id").alias("number"), "score", "contributions")
+    # Only numbers were ranked; the texts are fetched for what is left.
+    cited = fused.join(index.select("number", "chunk_id", "text", "heading_path", "page", "uri", *stored), "number").drop("number")
     if heading:
         cited = cited.where(heading_contains(F.col("heading_path"), heading))
     cited = cited.join(requests.select("query_id", "query", "top_k", "rerank"), "query_id")
