@@ -14,7 +14,7 @@ from pyspark.sql import types as S
 
 from lectern.functions import text as T
 from lectern.operators import overlap
-from lectern.session import parallelism, written
+from lectern.session import bounded, parallelism, written
 
 K1, B = 1.2, 0.75
 
@@ -99,8 +99,21 @@ def index(chunks: DataFrame, text: str = "text", folded: bool = False, keep: tup
     return written(tokenized(placed.select(F.monotonically_increasing_id().alias("number"), "chunk_id", *keep, F.col(text).alias("_text")), "_text", "terms", folded))
 
 
+def index_in_place(delivered: DataFrame, text: str = "text") -> DataFrame:
+    """(chunk_id, terms) of the distinct ``delivered`` chunks, written in the order they are read in, so that copies stay side by side.
+
+    As `index` without a scope, but only chunks delivered again are shuffled
+    with their texts; ties are decided by chunk_id.
+    """
+    rows = delivered.select("chunk_id", text)
+    again = bounded(rows.groupBy(F.col("chunk_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"))
+    same = F.col("chunk_id").eqNullSafe(F.col("_again"))
+    placed = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").distinct())
+    return written(tokenized(placed.select("chunk_id", F.col(text).alias("_text")), "_text", "terms"))
+
+
 def best(queries: DataFrame, stored: DataFrame, k: int, mode: str = "plus-one", visible: bool = False, named: bool = True) -> DataFrame:
-    """(query_id, chunk_id, or the number if not ``named``, score, rank): the best ``k`` of each of ``queries`` (query_id, terms) by BM25 in an `index`, ties by chunk.
+    """(query_id, chunk_id, or the number if not ``named``, score, rank): the best ``k`` of each of ``queries`` (query_id, terms) by BM25 in an `index`, or one `index_in_place`, ties by chunk.
 
     As `top` of `bm25`, scores to six digits, without a row for every chunk
     that shares a term.  ``visible``: queries (with tenant_id, acl,
@@ -108,7 +121,7 @@ def best(queries: DataFrame, stored: DataFrame, k: int, mode: str = "plus-one",
     they may see, which the index holds (tenant_id, acl, is_current); rarity is
     counted over all.
     """
-    spark = stored.sparkSession
+    spark, by = stored.sparkSession, "number" if "number" in stored.columns else "chunk_id"
     asked = queries.select("query_id", F.array_distinct("terms").alias("terms"), *(("tenant_id", "acl", "current_only", "_limit") if visible else ())).orderBy("query_id").toArrow().combine_chunks()
     row, values = overlap.flat(asked["terms"])
     vocabulary = values.unique()
@@ -127,7 +140,7 @@ def best(queries: DataFrame, stored: DataFrame, k: int, mode: str = "plus-one",
 
     def rows_of(table: pa.Table) -> Iterator[tuple]:
         vocabulary, idf = terms.value
-        table = overlap.ordered(table, "number")
+        table = overlap.ordered(table, by)
         item, values = overlap.flat(table["terms"])
         found = pc.index_in(values, vocabulary)
         hit = np.asarray(found.is_valid())
@@ -136,20 +149,20 @@ def best(queries: DataFrame, stored: DataFrame, k: int, mode: str = "plus-one",
         item, term = key // max(1, len(idf)), (key % max(1, len(idf))).astype(np.int32)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[item] / average))
         if not visible:
-            yield table.num_rows, [table["number"].combine_chunks()], item, term, weight, None, None
+            yield table.num_rows, [table[by].combine_chunks()], item, term, weight, None, None
             return
         for rows, seen in overlap.seen_rows(table, asking):
             place = np.full(table.num_rows, -1)
             place[rows] = np.arange(len(rows))
             own = place[item] >= 0
-            yield len(rows), [table["number"].combine_chunks().take(pa.array(rows))], place[item[own]], term[own], weight[own], None, seen
+            yield len(rows), [table[by].combine_chunks().take(pa.array(rows))], place[item[own]], term[own], weight[own], None, seen
 
-    scan = stored.select("number", "terms", *(("tenant_id", "acl", "is_current") if visible else ()))
-    hits = overlap.scored(scan, overlap.Queries(starts, numbers, limits, audience=audience), {"number": "long"}, rows_of)
+    scan = stored.select(by, "terms", *(("tenant_id", "acl", "is_current") if visible else ()))
+    hits = overlap.scored(scan, overlap.Queries(starts, numbers, limits, audience=audience), {by: "long" if by == "number" else "string"}, rows_of)
     names = overlap.table_of(spark, _query=pa.array(np.arange(asked.num_rows, dtype=np.int32)), query_id=asked["query_id"].combine_chunks(), _limit=pa.array(limits))
-    found = overlap.ranked(hits, names if visible else k, "number").join(names.drop("_limit"), "_query")
-    if not named:
-        return found.select("query_id", "number", "score", "rank")
+    found = overlap.ranked(hits, names if visible else k, by).join(names.drop("_limit"), "_query")
+    if not named or by == "chunk_id":
+        return found.select("query_id", by, "score", "rank")
     return found.join(stored.select("number", "chunk_id"), "number").select("query_id", "chunk_id", "score", "rank")
 
 

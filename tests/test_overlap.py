@@ -71,6 +71,27 @@ def test_f16_keeps_ten_chunks_with_ties_by_id(spark, tmp_path):
     assert len(got) == 29 and all([r[i] for i in range(1, 11)] == [f"b{j:03}" for j in range(0, 20, 2)] for r in got.values())
 
 
+def test_f16_keeps_copies_side_by_side_on_disk(spark, tmp_path):
+    from pathlib import Path
+
+    from lectern.catalog import QUERIES
+    from lectern.session import shared_dir
+
+    r = random.Random(11)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(40)) for _ in range(300)]
+    rows = [(f"{c:02}-{i:03}", t) for i, t in enumerate(texts) for c in range(20)]
+    rows += rows[:20]
+    spark.createDataFrame(rows, "id string, text string").coalesce(1).write.parquet(f"{tmp_path}/blocks.parquet")
+    asked = [(f"q{i:03}", texts[i].split()[0], "t", 10, "hybrid", ["public"], True, True) for i in range(0, 300, 50)]
+    spark.createDataFrame(asked, "query_id string, query string, tenant_id string, top_k int, mode string, acl array<string>, rerank boolean, current_only boolean").write.parquet(f"{tmp_path}/requests.parquet")
+    size = lambda: sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+    before = size()
+    got = sorted((x.query_id, x.rank, x.chunk_id) for x in QUERIES["f16_bm25"](spark, str(tmp_path)).collect())
+    assert got == [(f"q{i:03}", k + 1, f"{k:02}-{i:03}") for i in range(0, 300, 50) for k in range(10)]
+    # Ordered by id, the copies of a text lie 300 rows apart, too far for the compression.
+    assert size() - before < 350_000, size() - before
+
+
 def test_best_shared_counts_documents_and_leaves_out_the_own(spark):
     r = random.Random(8)
     docs = {d: [sorted(r.sample(range(100, 160), r.randrange(0, 14))) + ([1] if d % 2 else []) for _ in range(r.randrange(1, 5))] for d in range(60)}
